@@ -12,12 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamReader
 
 from inspectlake.functions.dates import day_from_title, decoded_path, required
 from inspectlake.plans.dataset import Dataset
 from inspectlake.plans.layout import CORRUPT
-from inspectlake.sources.files import document_name, list_files
+from inspectlake.sources.files import document_name, list_files, literal_path
 
 DOCUMENT_GLOB = "*.{xml,gz}"
 
@@ -28,9 +27,9 @@ ANY_ELEMENT = "xs_any"
 _PREFIX = r"([\w.-]+:)?"
 
 
-def _options(reader, row_tag: str, glob: str):
-    return (
-        reader.format("xml")
+def _reader(spark: SparkSession, row_tag: str, glob: str, tolerant: bool = False):
+    reader = (
+        spark.read.format("xml")
         .option("rowTag", row_tag)
         .option("ignoreNamespace", True)
         .option("ignoreSurroundingSpaces", False)
@@ -38,10 +37,6 @@ def _options(reader, row_tag: str, glob: str):
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("pathGlobFilter", glob)
     )
-
-
-def _reader(spark: SparkSession, row_tag: str, glob: str, tolerant: bool = False):
-    reader = _options(spark.read, row_tag, glob)
     return reader.option("ignoreCorruptFiles", True) if tolerant else reader
 
 
@@ -79,11 +74,6 @@ def scan(
     return with_document(_load(_reader(spark, dataset.row_tag, glob, tolerant).schema(dataset.schema), path))
 
 
-def scan_stream(spark: SparkSession, dataset: Dataset, path: str, glob: str = DOCUMENT_GLOB, **options) -> DataFrame:
-    reader: DataStreamReader = _options(spark.readStream, dataset.row_tag, glob).options(**options)
-    return with_document(reader.schema(dataset.schema).load(path))
-
-
 def records(spark: SparkSession, dataset: Dataset, path: str | Sequence[str], glob: str = DOCUMENT_GLOB) -> DataFrame:
     """Clean records of a series; a damaged record is an error here."""
     return dataset.shape(sound(scan(spark, dataset, path, glob)))
@@ -198,8 +188,7 @@ def _filled_envelopes(spark: SparkSession, suspects: DataFrame, glob: str) -> Da
     The paths (names only, a handful on a healthy feed) go through the driver
     because a scan is planned from paths.
     """
-    literal = F.regexp_replace("_listed", r"([\\\[\]{}*?])", r"\\$1")
-    paths = [row[0] for row in suspects.select(literal).toLocalIterator()]
+    paths = [literal_path(row[0]) for row in suspects.select("_listed").toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], "cesta string")
     return _with_content(spark, paths, glob).select(_same_form("cesta").alias("cesta")).distinct()

@@ -8,6 +8,7 @@ that hold any number of part files; both give the same ``soubor``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
@@ -47,6 +48,11 @@ def list_files(spark: SparkSession, directory: str | Sequence[str], glob: str |
     return listed.select("path", "length", soubor.alias("soubor")).withColumn("den", day_from_title(F.col("soubor")))
 
 
+def literal_path(path: str) -> str:
+    """A listed path for a reader, which would take some characters as a glob."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def count_files(listing: DataFrame) -> DataFrame:
     return listing.agg(F.count("*").alias("files"))
 
