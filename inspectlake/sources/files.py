@@ -105,14 +105,20 @@ def sample_files(listing: DataFrame, count: int, seed: int) -> DataFrame:
 
 
 def _first_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from urllib.parse import quote
+
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     for batch in batches:
         errors = []
         for path in batch["path"]:
+            scheme, colon, rest = path.partition(":")
             try:
-                system, where = fs.FileSystem.from_uri(path)
+                if not colon or scheme == "file":
+                    system, where = fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon else path
+                else:
+                    system, where = fs.FileSystem.from_uri(quote(path, safe=":/=@"))
                 with system.open_input_file(where) as source:
                     next(pq.ParquetFile(source).iter_batches(batch_size=1), None)
                 errors.append(None)
@@ -124,14 +130,7 @@ def _first_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def audit_parquet(listing: DataFrame) -> DataFrame:
     """Try one row of every listed file on the executors; ``error`` is null
     for a readable file."""
-    names = listing.select(
-        F.when(F.col("path").rlike("^[a-z0-9]+:"), F.replace(F.col("path"), F.lit(":/"), F.lit(":///")))
-        .otherwise(F.concat(F.lit("file://"), F.col("path")))
-        .alias("uri"),
-        "path",
-    )
-    probed = names.select(F.regexp_replace("uri", ":/{3,}", ":///").alias("path"))
-    return probed.mapInPandas(_first_rows, "path string, error string")
+    return listing.select("path").mapInPandas(_first_rows, "path string, error string")
 
 
 def unreadable_files(listing: DataFrame) -> DataFrame:
