@@ -253,7 +253,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], accuracy: int = 10_00
     entries = [
         F.struct(
             F.lit(name).alias("sloupec"),
-            F.col(f"mean_{i}").cast("double").alias("prumer"),
+            F.round(F.col(f"mean_{i}").cast("double"), 6).alias("prumer"),
             *[F.col(f"q_{i}")[n].cast("double").alias(f"kvartil_{n + 1}") for n in range(3)],
         )
         for i, name in enumerate(columns)

@@ -80,8 +80,11 @@ def records(spark: SparkSession, dataset: Dataset, path: str | Sequence[str], gl
 
 
 def sound(scanned: DataFrame) -> DataFrame:
-    """Fail on the first damaged document, naming it."""
-    message = F.concat(F.lit("damaged document: "), F.col("cesta"))
+    """Fail on the first damaged document, naming it and what was read of the
+    damaged record.  (Reading that field also keeps the scan from consisting of
+    the damage column alone, which the source refuses.)"""
+    key = F.coalesce(F.get(F.col(f"`{scanned.columns[0]}`"), 0).cast("string"), F.lit(""))
+    message = F.concat(F.lit("damaged document: "), F.col("cesta"), F.lit(" at record "), key)
     return scanned.where(F.col(CORRUPT).isNull() | F.raise_error(message).isNotNull())
 
 
@@ -97,8 +100,7 @@ def _tags(spark: SparkSession, path, glob: str) -> DataFrame:
         .option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", True)
     )
-    tags = _load(reader, path)
-    return tags.select("value", decoded_path(F.col("_metadata.file_path")).alias("cesta"))
+    return _load(reader, path).select("value", F.col("_metadata.file_path").alias("_file"))
 
 
 def _tag_counts(tags: DataFrame, row_tag: str) -> DataFrame:
@@ -107,11 +109,12 @@ def _tag_counts(tags: DataFrame, row_tag: str) -> DataFrame:
     opening = about_envelope.rlike(rf"<{_PREFIX}{ENVELOPE}(\s[\s\S]*|/)?$")
     closing = about_envelope.rlike(rf"(</{_PREFIX}{ENVELOPE}\s*|<{_PREFIX}{ENVELOPE}(\s[\s\S]*)?/)$")
     record = F.when(value.contains(row_tag), value).rlike(rf"<{_PREFIX}{row_tag}(\s[\s\S]*|/)?$")
-    return tags.groupBy("cesta").agg(
+    counts = tags.groupBy("_file").agg(
         F.count_if(opening).alias("opened"),
         F.count_if(closing).alias("closed"),
         F.count_if(record).alias("tagged"),
     )
+    return counts.withColumn("cesta", decoded_path(F.col("_file")))
 
 
 def _with_content(spark: SparkSession, path, glob: str) -> DataFrame:

@@ -290,7 +290,7 @@ def _cast_losses() -> str:
     picked = ", ".join(f"p{i}" for i in range(len(types)))
     return f"""WITH c AS (SELECT {counts} FROM orders), l AS (SELECT [{picked}] AS p FROM c)
         SELECT n.name AS column_name, n.target AS target_type, l.p[n.i + 1] AS present,
-        CASE WHEN n.name LIKE '%\_Vysledek' ESCAPE '\' THEN l.p[n.i + 1] ELSE 0 END AS lost
+        CASE WHEN suffix(n.name, '_Vysledek') THEN l.p[n.i + 1] ELSE 0 END AS lost
         FROM (VALUES {rows}) AS n(name, target, i), l"""
 
 
@@ -565,6 +565,10 @@ def oracle_sql() -> dict[str, str]:
         "by_vehicle": BY_VEHICLE,
         "defect_corr": DEFECT_CORR,
         "profile": _profile(),
+        "numeric_profile": """SELECT sloupec, round(avg(h), 6) AS prumer, quantile_disc(h, 0.25) AS kvartil_1,
+            quantile_disc(h, 0.5) AS kvartil_2, quantile_disc(h, 0.75) AS kvartil_3
+            FROM (SELECT 'l_quantity' AS sloupec, l_quantity AS h FROM lineitem UNION ALL
+            SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY 1""",
         "impute": IMPUTE,
         "unify": _unify(),
         "drive_split": f"""SELECT CASE {K} % 3 WHEN 0 THEN 'benzin' WHEN 1 THEN 'nafta' ELSE 'plyn' END AS pohon,

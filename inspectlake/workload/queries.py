@@ -69,13 +69,11 @@ def measurement_dtc_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measurement_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 1970 columns of every record, as one fingerprint per row."""
     wide = measurements.wide(measurement_table(spark, sf_dir))
-    columns = list(measurements.wide_columns())
-    text = ", ".join(f"coalesce(`{name}`, '~')" for name in columns)
-    values = ", ".join(f"`{name}`" for name in columns)
-    return wide.selectExpr(
+    values = ", ".join(f"`{name}`" for name in measurements.wide_columns())
+    return wide.selectExpr("CisloProtokolu", f"array({values}) AS hodnoty").selectExpr(
         "CisloProtokolu",
-        f"size(array_compact(array({values}))) AS vyplneno",
-        f"md5(concat_ws('|', {text})) AS otisk",
+        "size(array_compact(hodnoty)) AS vyplneno",
+        "md5(array_join(hodnoty, '|', '~')) AS otisk",
     )
 
 
@@ -563,7 +561,7 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
-    return analysis.numeric_profile(items, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return analysis.numeric_profile(items, ["l_quantity", "l_discount", "l_tax"])
 
 
 def impute(spark: SparkSession, sf_dir: str) -> DataFrame:
