@@ -104,22 +104,28 @@ def sample_files(listing: DataFrame, count: int, seed: int) -> DataFrame:
     return listing.orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(count)
 
 
-def _first_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _open(path: str):
+    """A listed file as a stream, in the local or a remote file system."""
     from urllib.parse import quote
 
-    import pyarrow.parquet as pq
     from pyarrow import fs
 
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme != "file":
+        system, where = fs.FileSystem.from_uri(quote(path, safe=":/=@"))
+    else:
+        system, where = fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon else path
+    return system.open_input_file(where)
+
+
+def _first_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow.parquet as pq
+
     for batch in batches:
         errors = []
         for path in batch["path"]:
-            scheme, colon, rest = path.partition(":")
             try:
-                if not colon or scheme == "file":
-                    system, where = fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon else path
-                else:
-                    system, where = fs.FileSystem.from_uri(quote(path, safe=":/=@"))
-                with system.open_input_file(where) as source:
+                with _open(path) as source:
                     next(pq.ParquetFile(source).iter_batches(batch_size=1), None)
                 errors.append(None)
             except Exception as problem:  # any failure to read is the finding
@@ -127,6 +133,25 @@ def _first_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(error=errors)
 
 
+def _untyped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        names = []
+        for path in batch["path"]:
+            with _open(path) as source:
+                schema = pq.read_schema(source)
+            names.append([field.name for field in schema if pa.types.is_null(field.type)])
+        yield batch.assign(columns=names)
+
+
+def untyped_columns(listing: DataFrame) -> DataFrame:
+    """Per parquet file the columns its writer left without a type because they
+    held nulls only.  Only footers are read, on the executors."""
+    return listing.select("path").mapInPandas(_untyped, "path string, columns array<string>")
+
+
 def audit_parquet(listing: DataFrame) -> DataFrame:
     """Try one row of every listed file on the executors; ``error`` is null
     for a readable file."""
