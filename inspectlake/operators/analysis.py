@@ -183,9 +183,9 @@ def unify(sets: Mapping[str, DataFrame]) -> DataFrame:
 def with_drive(records: DataFrame) -> DataFrame:
     """Drive class from the fuel detail that is present, else from the fuel code."""
     drive = (
-        F.when(F.col("Plyn").isNotNull(), "plyn")
-        .when(F.col("Nafta").isNotNull(), "nafta")
-        .when(F.col("Benzin").isNotNull(), "benzin")
+        F.when(F.array_contains("Detaily", "Plyn"), "plyn")
+        .when(F.array_contains("Detaily", "Nafta"), "nafta")
+        .when(F.array_contains("Detaily", "Benzin"), "benzin")
         .when(F.col("Vozidlo_Palivo") == "BA", "benzin")
         .when(F.col("Vozidlo_Palivo") == "NM", "nafta")
         .otherwise("jine")

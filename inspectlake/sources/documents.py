@@ -105,11 +105,12 @@ def _tags(spark: SparkSession, path, glob: str) -> DataFrame:
 
 def _tag_counts(tags: DataFrame, row_tag: str) -> DataFrame:
     value = F.col("value")
-    about_envelope = F.when(value.contains(ENVELOPE), value)
-    opening = about_envelope.rlike(rf"<{_PREFIX}{ENVELOPE}(\s[\s\S]*|/)?$")
-    closing = about_envelope.rlike(rf"(</{_PREFIX}{ENVELOPE}\s*|<{_PREFIX}{ENVELOPE}(\s[\s\S]*)?/)$")
-    record = F.when(value.contains(row_tag), value).rlike(rf"<{_PREFIX}{row_tag}(\s[\s\S]*|/)?$")
-    counts = tags.groupBy("_file").agg(
+    opening = value.rlike(rf"<{_PREFIX}{ENVELOPE}(\s[\s\S]*|/)?$")
+    closing = value.rlike(rf"(</{_PREFIX}{ENVELOPE}\s*|<{_PREFIX}{ENVELOPE}(\s[\s\S]*)?/)$")
+    record = value.rlike(rf"<{_PREFIX}{row_tag}(\s[\s\S]*|/)?$")
+    # The plain search leaves a small part of the tags to the expressions.
+    named = tags.where(value.contains(ENVELOPE) | value.contains(row_tag))
+    counts = named.groupBy("_file").agg(
         F.count_if(opening).alias("opened"),
         F.count_if(closing).alias("closed"),
         F.count_if(record).alias("tagged"),

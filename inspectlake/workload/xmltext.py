@@ -7,22 +7,18 @@ from pyspark.sql import functions as F
 
 from inspectlake.functions.elements import literal
 
-def quoted(text: str) -> str:
-    return literal(text)
-
-
 def joined(*parts: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
 def tag(name: str, *content: str, attributes: dict[str, str] | None = None) -> str:
     """An element around SQL expressions; attributes are expressions too."""
-    opening = [quoted(f"<{name}")]
+    opening = [literal(f"<{name}")]
     for key, value in (attributes or {}).items():
-        opening += [quoted(f' {key}="'), value, quoted('"')]
+        opening += [literal(f' {key}="'), value, literal('"')]
     if not content:
-        return joined(*opening, quoted("/>"))
-    return joined(*opening, quoted(">"), *content, quoted(f"</{name}>"))
+        return joined(*opening, literal("/>"))
+    return joined(*opening, literal(">"), *content, literal(f"</{name}>"))
 
 
 def only_if(condition: str, content: str) -> str:
@@ -62,8 +58,8 @@ def write_feed(
     )
     closing = f"</{list_name}></DatovyObsah></DatovaSada>"
     parts = rows.groupBy("soubor").agg(F.ceil(F.count("*") / RECORDS_PER_FILE).cast("int").alias("kusu"))
-    # One row per document: as many as there are days, not as there are records.
-    numbered = rows.join(F.broadcast(parts), "soubor").withColumn(
+    # One row per document on the right; Spark broadcasts it if it is small.
+    numbered = rows.join(parts, "soubor").withColumn(
         "kus", F.pmod(F.xxhash64(key), F.col("kusu")).cast("int")
     )
     edges = parts.select("soubor", F.explode(F.sequence(F.lit(0), F.col("kusu") - 1)).alias("kus")).select(
