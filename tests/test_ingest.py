@@ -94,3 +94,49 @@ def test_measurements_use_the_same_path(spark, tmp_path):
     ingest.ingest_pending(spark, MEASUREMENTS, str(tmp_path / "m"), target)
     rows = spark.read.parquet(f"{target}/mereni").collect()
     assert sorted((r.CisloProtokolu or "") for r in rows) == ["", "1"]
+
+
+def test_finished_input_is_archived_on_request(spark, feed, tmp_path):
+    target, checkpoint, archive = (str(tmp_path / name) for name in ("t", "c", "done"))
+    arguments = (spark, INSPECTIONS, str(feed), target, checkpoint)
+    ingest.ingest_stream(*arguments, files_per_batch=1, archive=archive)
+    X.put(feed, "P 03-01-2020.xml", X.inspections(one("4")))
+    ingest.ingest_stream(*arguments, archive=archive)
+    assert list((tmp_path / "done").rglob("P 01-01-2020.xml"))
+    assert len(contents(spark, target, "prohlidky")) == 4
+
+
+def test_scans_prune_and_push_down(spark, feed, tmp_path):
+    target = str(tmp_path / "t")
+    ingest.ingest_pending(spark, INSPECTIONS, str(feed), target)
+    table = tables.read_days(spark, f"{target}/prohlidky", PARENT_SCHEMA)
+    query = table.where("Vozidlo_Vin = 'V' AND den = DATE '2020-01-01'").select("CisloProtokolu", "Vozidlo_Vin")
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(Vozidlo_Vin,V)" in plan
+    assert "den" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "ReadSchema: struct<CisloProtokolu:string,Vozidlo_Vin:string>" in plan
+    assert "Exchange" not in plan
+
+
+def test_split_documents_hold_the_same_records(spark, tmp_path, monkeypatch):
+    """A day with most of the rows is cut into part files, each of them whole."""
+    from pyspark.sql import functions as F
+
+    from inspectlake.sources import documents
+    from inspectlake.workload import xmltext
+
+    monkeypatch.setattr(xmltext, "RECORDS_PER_FILE", 50)
+    hot = F.when(F.col("id") % 10 < 9, "P 01-01-2020").otherwise("P 02-01-2020")
+    rows = spark.range(1000).withColumn("soubor", hot)
+    record = xmltext.tag("Prohlidka", xmltext.tag("CisloProtokolu", "id"))
+    feed = xmltext.write_feed(
+        spark, rows, "id", record, "ProhlidkaSeznam", "istp:opendata:schemas:ProhlidkaSeznam:v1", str(tmp_path / "f")
+    )
+    checked = documents.check_documents(spark, INSPECTIONS, feed, glob="*.gz").collect()
+    per_document = {name: [r for r in checked if r.soubor == name] for name in ("P 01-01-2020", "P 02-01-2020")}
+    assert [len(parts) for parts in per_document.values()] == [18, 2]
+    assert {r.status for r in checked} == {"ok"}
+    target = str(tmp_path / "t")
+    ingest.ingest_pending(spark, INSPECTIONS, feed, target, glob="*.gz")
+    assert sorted(int(r[2]) for r in contents(spark, target, "prohlidky")) == list(range(1000))
+    assert sorted(r.zaznamu for r in ingest.commits(spark, target).collect()) == [100, 900]
