@@ -14,7 +14,7 @@ from inspectlake.functions.dates import day_from_path, day_from_title, day_to_te
 from inspectlake.operators import analysis, census, model, ranking, relations, report, search
 from inspectlake.plans import inspections, measurements
 from inspectlake.plans.inspections import INSPECTIONS, PARENT_COLUMNS, PARENT_SCHEMA
-from inspectlake.plans.measurements import MEASUREMENTS
+from inspectlake.plans.measurements import MEASUREMENT_HEADS
 from inspectlake.sources import catalogue, delimited, documents, files, tables
 from inspectlake.streaming import ingest
 from inspectlake.workload.feeds import (
@@ -22,7 +22,6 @@ from inspectlake.workload.feeds import (
     inspection_feed,
     inspection_records,
     measurement_feed,
-    measurement_records,
     measurement_table,
     once,
     scratch,
@@ -56,13 +55,13 @@ def inspection_adr_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measurement_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = measurement_records(spark, sf_dir)
-    return records.select(*[name for name, _ in measurements.HEAD_COLUMNS], "den")
+    records = documents.records(spark, MEASUREMENT_HEADS, measurement_feed(spark, sf_dir), FEED_GLOB)
+    return records.drop("soubor")
 
 
 def measurement_dtc_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = documents.scan(spark, MEASUREMENTS, measurement_feed(spark, sf_dir), FEED_GLOB)
-    records = measurements.shape(documents.sound(scanned), dtc_fallback=True)
+    scanned = documents.scan(spark, MEASUREMENT_HEADS, measurement_feed(spark, sf_dir), FEED_GLOB)
+    records = measurements.shape_head(documents.sound(scanned), dtc_fallback=True)
     return records.groupBy("EmisniSystem", "Obd_PocetDtc").agg(F.count("*").alias("pocet"))
 
 

@@ -95,6 +95,14 @@ def test_fault_count_falls_back_only_on_request(read):
     assert read(body, dtc_fallback=True).first().Obd_PocetDtc == "3"
 
 
+def test_head_scan_equals_the_head_of_the_full_scan(spark, read, tmp_path):
+    prohlidka = "<prohlidka cisloProtokolu='p'><mericiPristroj typ='t'/><poznamka>n</poznamka></prohlidka>"
+    body = device(prohlidka + "<emisniSystem><rizeny/></emisniSystem><detailBenzin palivo='x'/>") + "<Mereni/>"
+    full = read(body).select(*[name for name, _ in plan.HEAD_COLUMNS], "soubor", "den")
+    heads = documents.records(spark, plan.MEASUREMENT_HEADS, str(tmp_path / "in")).select(*full.columns)
+    assert sorted(map(str, heads.collect())) == sorted(map(str, full.collect()))
+
+
 def test_slots_cut_the_wide_view_only(read):
     outlets = "".join(
         f"<vyusteni><otackyVolnobezne>{measured('CO', i, low=1, high=2)}</otackyVolnobezne></vyusteni>" for i in range(5)
