@@ -211,7 +211,7 @@ def test_pruning_reaches_the_leaf(spark, read, tmp_path):
     assert "OtackyVolnobezne" in schema and "OtackyZvysene" not in schema and "Nafta" not in schema
 
 
-def test_drive_class(read):
+def test_drive_class(spark, read, tmp_path):
     bodies = {
         "plyn": "<detailBenzin/><detailPlyn/>",
         "nafta": "<detailNafta/>",
@@ -220,6 +220,9 @@ def test_drive_class(read):
     }
     for drive, inner in bodies.items():
         assert analysis.with_drive(read(device(inner))).first().pohon == drive
+    analysis.write_by_drive(read("".join(map(device, bodies.values()))), str(tmp_path / "split"))
+    split = spark.read.parquet(str(tmp_path / "split"))
+    assert sorted(r.pohon for r in split.select("pohon").collect()) == sorted(bodies)
 
 
 def test_census(spark, read, tmp_path):
