@@ -5,9 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inspectlake.llm import oracles, quality
+from inspectlake.llm import mixing, oracles, packing, quality, resharding
 from inspectlake.llm.staging import stage, table
+from inspectlake.llm.words import count_words
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.expr(count_words()).alias("size"))
+    mixed, quotas = mixing.mix_table(docs, "size")
+    quotas = quotas.withColumnRenamed("source", "of")
+    return mixed.join(quotas, F.col("source").eqNullSafe(F.col("of")), "left").select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("mix_sources")).alias("taken")
+    )
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +29,32 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old layout: one of eight shards by a hash of the source, so sizes differ widely."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"),
+        F.crc32(raw).alias("text_crc32"),
+        F.expr("cast(crc32(cast(coalesce(source, '') as binary)) % 8 as int)").alias("old_shard"),
+    )
+    placed = resharding.reshard(stage(docs, "reshard"), "old_shard", "size", 8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+    )
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as lengths; equal texts are a duplicate cluster."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.expr(count_words()).alias("size"), F.md5("text").alias("cluster")
+    )
+    return packing.pack(docs, "size", "source", "cluster")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op2_quality_rules,)
+    made = (op1_mix_sources, op2_quality_rules, op4_reshard, op6_best_fit_packing)
     return {query.__name__: query for query in made}
 
 

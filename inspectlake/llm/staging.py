@@ -1,4 +1,4 @@
-"""Written intermediate tables, and cuts through seeded orders.
+"""Written intermediate tables and free column names.
 
 Intermediate results are Parquet tables in the folder that all executors
 share, so a lost executor costs the tasks it ran and nothing behind them.
@@ -43,37 +43,3 @@ def free(*names: str, among: list[str]) -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cumulate(df: DataFrame, group: list[str], order: list[str], weight: str, before: str) -> DataFrame:
-    """Add ``before``: the sum of ``weight`` over the rows of the group that precede this one.
-
-    ``order`` starts with a column of evenly spread longs (a seeded hash).  A
-    group is cut into about sqrt(rows) ranges of that hash; range sums come from
-    partial aggregation and only ranges, or the rows of one range, meet in a
-    task.  A group with a third of all rows is thus as cheap as any other.  Rows
-    equal in all order columns follow each other in any order.
-    """
-    part, low, at = free("part", "low", "at", among=df.columns)
-    ranges = max(1, round(df.count() ** 0.5))
-    hashed = F.col(order[0])
-    split = df.withColumn(part, F.floor((hashed / F.lit(2.0**64) + F.lit(0.5)) * ranges).cast("int"))
-    keys = [*group, part]
-    sums = split.groupBy(*keys).agg(F.sum(weight).alias(low))
-    by_range = F.expr(
-        f"coalesce(sum(`{low}`) over (partition by {_names(group)} order by `{part}` "
-        "rows between unbounded preceding and 1 preceding), 0)"
-    )
-    starts = sums.select(*keys, by_range.alias(at))
-    starts = starts.select(at, *(F.col(k).alias(f"{at}_{k}") for k in keys))
-    within = F.expr(
-        f"coalesce(sum(`{weight}`) over (partition by {_names(keys)} order by {_names(order)} "
-        "rows between unbounded preceding and 1 preceding), 0)"
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"{at}_{k}")) for k in keys]
-    joined = split.withColumn(before, within).join(starts, same)
-    return joined.select(*df.columns, (F.col(before) + F.col(at)).alias(before))
-
-
-def _names(columns: list[str]) -> str:
-    return ", ".join(f"`{c}`" for c in columns)
