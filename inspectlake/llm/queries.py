@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectlake.llm import mixing, oracles, packing, quality, resharding
+from inspectlake.llm import languages, mixing, oracles, packing, quality, resharding
 from inspectlake.llm.staging import stage, table
 from inspectlake.llm.words import count_words
 
@@ -29,6 +29,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, true)"
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = languages.fit(docs.filter(f"not {HELD_OUT}"))
+    return languages.predict(docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "text"), model).drop("text")
+
+
 def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old layout: one of eight shards by a hash of the source, so sizes differ widely."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -54,7 +63,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_mix_sources, op2_quality_rules, op4_reshard, op6_best_fit_packing)
+    made = (op1_mix_sources, op2_quality_rules, op3_language_id, op4_reshard, op6_best_fit_packing)
     return {query.__name__: query for query in made}
 
 
