@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectlake.llm import languages, mixing, oracles, packing, quality, resharding
+from inspectlake.llm import extraction, languages, mixing, neighbours, oracles, packing, quality, resharding, secrets
 from inspectlake.llm.staging import stage, table
 from inspectlake.llm.words import count_words
 
@@ -62,8 +62,32 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "size", "source", "cluster")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extraction.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    line = "concat_ws(',', transform({}, s -> concat_ws(':', s.kind, s.start, s.end)))"
+    base = "filter(secrets, s -> s.layer = 0)"
+    return found.select(
+        "doc_id",
+        *(
+            F.expr(f"cast(size(filter(secrets, s -> s.layer = 0 and s.kind = '{k}')) as long)").alias(f"n_{k}")
+            for k in secrets.KINDS
+        ),
+        F.expr(f"sha2({line.format(base)}, 256)").alias("base_sha256"),
+        F.expr(line.format("secrets")).alias("spans"),
+    )
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "vec_id % 20 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_mix_sources, op2_quality_rules, op3_language_id, op4_reshard, op6_best_fit_packing)
+    made = (op1_mix_sources, op2_quality_rules, op3_language_id, op4_reshard, op6_best_fit_packing, op8_html_extraction, op9_secret_scan, op10_nearest_neighbours)
     return {query.__name__: query for query in made}
 
 
