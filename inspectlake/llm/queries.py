@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectlake.llm import extraction, languages, mixing, neighbours, oracles, packing, quality, resharding, secrets
+from inspectlake.llm import extraction, languages, mixing, neardup, neighbours, oracles, packing, quality, resharding, secrets
 from inspectlake.llm.staging import stage, table
 from inspectlake.llm.words import count_words
 
@@ -54,6 +54,10 @@ def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as lengths; equal texts are a duplicate cluster."""
     docs = table(spark, sf_dir, "documents").select(
@@ -87,7 +91,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_mix_sources, op2_quality_rules, op3_language_id, op4_reshard, op6_best_fit_packing, op8_html_extraction, op9_secret_scan, op10_nearest_neighbours)
+    made = (op1_mix_sources, op2_quality_rules, op3_language_id, op4_reshard, op5_near_duplicates, op6_best_fit_packing, op8_html_extraction, op9_secret_scan, op10_nearest_neighbours)
     return {query.__name__: query for query in made}
 
 
