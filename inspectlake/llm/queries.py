@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectlake.llm import extraction, languages, mixing, neardup, neighbours, oracles, packing, quality, resharding, secrets
+import corpus_pipeline
+from inspectlake.llm import extraction, languages, mixing, neardup, neighbours, oracles, packing, quality, repeats, resharding, secrets
 from inspectlake.llm.staging import stage, table
 from inspectlake.llm.words import count_words
 
@@ -66,6 +67,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "size", "source", "cluster")
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_strings(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes",
+        F.expr("aggregate(removed, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), "kept_sha256",
+    )
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extraction.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return pages.withColumn("n_chars", F.length("text").cast("long"))
@@ -91,9 +101,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_mix_sources, op2_quality_rules, op3_language_id, op4_reshard, op5_near_duplicates, op6_best_fit_packing, op8_html_extraction, op9_secret_scan, op10_nearest_neighbours)
-    return {query.__name__: query for query in made}
+    made = (op1_mix_sources, op2_quality_rules, op3_language_id, op4_reshard, op5_near_duplicates, op6_best_fit_packing, op7_repeated_strings, op8_html_extraction, op9_secret_scan, op10_nearest_neighbours)
+    return {query.__name__: query for query in made} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    own = oracles.oracle_sql()
+    return own | {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else own
