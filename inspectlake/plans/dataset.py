@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Columns that tie a row to its document; every target table is partitioned
-#: by them, so a day can be pruned and a document replaced.
-DOCUMENT_COLUMNS = ("den", "soubor")
+#: Columns that tie a row to its document and, in ingested tables, to the
+#: version of the file it came from; every target table is partitioned by them,
+#: so a day can be pruned and a file's rows seen or not as a whole.
+DOCUMENT_COLUMNS = ("den", "soubor", "verze")
 
 
 @dataclass(frozen=True)
@@ -19,7 +20,8 @@ class Dataset:
 
     ``shape`` turns scanned XML rows into clean records and drops the rows the
     series does not accept; each entry of ``tables`` projects clean records to
-    the rows of one target table.  The first table is the parent.
+    the rows of one target table.  The first table is the parent.  ``lookups``
+    are columns that rows are looked up by, one value at a time.
     """
 
     name: str
@@ -27,6 +29,7 @@ class Dataset:
     schema: T.StructType
     shape: Callable[[DataFrame], DataFrame]
     tables: Mapping[str, Callable[[DataFrame], DataFrame]]
+    lookups: Sequence[str] = ()
 
     @property
     def parent(self) -> str:

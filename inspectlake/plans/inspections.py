@@ -163,6 +163,7 @@ INSPECTIONS = Dataset(
     schema=SCHEMA,
     shape=shape,
     tables={"prohlidky": inspections, "zavady": defects, "ukony": actions, "adr_typy": adr_types},
+    lookups=("Vozidlo_Vin",),
 )
 
 __all__ = ["INSPECTIONS", "PARENT_COLUMNS", "PARENT_SCHEMA", "SCHEMA"]

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from inspectlake.functions.dates import day_from_title, decoded_path, required
 from inspectlake.plans.dataset import Dataset
 from inspectlake.plans.layout import CORRUPT
-from inspectlake.sources.files import document_name, list_files, literal_path
+from inspectlake.sources.files import document_name, file_version, list_files, literal_path
 
 DOCUMENT_GLOB = "*.{xml,gz}"
 
@@ -44,11 +44,12 @@ def _load(reader, path: str | Sequence[str]) -> DataFrame:
     return reader.load(path if isinstance(path, str) else list(path))
 
 
-def with_document(scanned: DataFrame, strict: bool = True) -> DataFrame:
-    """Add the document's path, name and day.  A name without a day is an
-    error unless ``strict`` is off."""
+def with_document(scanned: DataFrame, strict: bool = True, versioned: bool = False) -> DataFrame:
+    """Add the document's path, name and day, on request the file's version.
+    A name without a day is an error unless ``strict`` is off."""
     path = decoded_path(F.col("_metadata.file_path"))
-    named = scanned.select("*", path.alias("cesta"), document_name(scanned, path).alias("_soubor"))
+    version = [file_version(scanned).alias("verze")] if versioned else []
+    named = scanned.select("*", path.alias("cesta"), document_name(scanned, path).alias("_soubor"), *version)
     day = day_from_title(F.col("_soubor"))
     data = [name for name in scanned.columns if name not in ("soubor", "cast", "den")]
     return named.select(
@@ -56,6 +57,7 @@ def with_document(scanned: DataFrame, strict: bool = True) -> DataFrame:
         "cesta",
         F.col("_soubor").alias("soubor"),
         (required(day, F.col("_soubor")) if strict else day).alias("den"),
+        *(["verze"] if versioned else []),
     )
 
 
@@ -65,13 +67,15 @@ def scan(
     path: str | Sequence[str],
     glob: str = DOCUMENT_GLOB,
     tolerant: bool = False,
+    versioned: bool = False,
 ) -> DataFrame:
     """Records of a series as the XML source sees them.
 
     ``tolerant`` keeps going where a compressed stream is damaged; whoever
     uses it must check the documents with ``check_documents``.
     """
-    return with_document(_load(_reader(spark, dataset.row_tag, glob, tolerant).schema(dataset.schema), path))
+    scanned = _load(_reader(spark, dataset.row_tag, glob, tolerant).schema(dataset.schema), path)
+    return with_document(scanned, versioned=versioned)
 
 
 def records(spark: SparkSession, dataset: Dataset, path: str | Sequence[str], glob: str = DOCUMENT_GLOB) -> DataFrame:

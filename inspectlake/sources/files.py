@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from inspectlake.functions.dates import (
     day_from_path,
     day_from_title,
+    decoded_path,
     file_name,
     required,
     title_text,
@@ -48,6 +49,34 @@ def list_files(spark: SparkSession, directory: str | Sequence[str], glob: str |
     return listed.select("path", "length", soubor.alias("soubor")).withColumn("den", day_from_title(F.col("soubor")))
 
 
+def file_version(df: DataFrame) -> Column:
+    """A file as it is now: its path, size and time of change, as one short text."""
+    parts = (
+        same_form(F.col("_metadata.file_path")),
+        F.col("_metadata.file_size").cast("string"),
+        F.unix_millis(F.col("_metadata.file_modification_time")).cast("string"),
+    )
+    return F.substring(F.md5(F.concat_ws("|", *parts)), 1, 20)
+
+
+def list_versions(spark: SparkSession, directory: str | Sequence[str], glob: str | None = None) -> DataFrame:
+    """Files at any depth: ``path, cesta, soubor, den, verze``; two files of one name stay two."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    listed = reader.load(directory if isinstance(directory, str) else list(directory))
+    soubor = document_name(listed, decoded_path(F.col("_metadata.file_path")))
+    cesta = same_form(F.col("_metadata.file_path"))
+    return listed.select("path", cesta.alias("cesta"), soubor.alias("soubor"), file_version(listed).alias("verze")).withColumn(
+        "den", day_from_title(F.col("soubor"))
+    )
+
+
+def same_form(path: Column) -> Column:
+    """Sources differ in escapes and in the slashes after the scheme; compare without them."""
+    return F.regexp_replace(decoded_path(path), "^([a-z0-9]+):/+", "$1:/")
+
+
 def literal_path(path: str) -> str:
     """A listed path for a reader, which would take some characters as a glob."""
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)

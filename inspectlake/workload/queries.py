@@ -220,8 +220,12 @@ def parquet_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table_counts(spark: SparkSession, target: str) -> DataFrame:
+    key = T.StructType().add("CisloProtokolu", T.StringType())
     counts = [
-        spark.read.parquet(f"{target}/{name}").groupBy("den").agg(F.count("*").alias("radku")).withColumn("tabulka", F.lit(name))
+        tables.read_days(spark, f"{target}/{name}", key)
+        .groupBy("den")
+        .agg(F.count("*").alias("radku"))
+        .withColumn("tabulka", F.lit(name))
         for name in INSPECTIONS.tables
     ]
     result = counts[0]

