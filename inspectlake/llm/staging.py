@@ -15,10 +15,16 @@ from inspectlake.session import shared_dir
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; this cuts lineage."""
+    """Write ``df`` to the shared folder and read it back; this cuts lineage.
+
+    Shuffle files of the finished write are of no more use; collecting the
+    driver's garbage lets Spark's cleaner remove them now, before the next step
+    needs the disk.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
