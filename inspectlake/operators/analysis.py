@@ -1,9 +1,7 @@
 """Cleaning, anomalies and trends over the tables.
 
-Medians and quartiles are exact: values are counted per group first and the
-percentile then runs over distinct values with their counts.  Measured values
-have a device's resolution, so there are few distinct ones, and a group with a
-third of all rows shrinks to them before it meets in one task.
+Medians and quartiles are exact: distinct values with their counts lie in
+buckets, and only the buckets that hold a wanted position are looked into.
 """
 
 from __future__ import annotations
@@ -14,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inspectlake.operators.ranking import quantiles
+
 PLACEHOLDER = "-"
 
 
@@ -50,17 +50,10 @@ def station_scores(df: DataFrame, station: str, flagged: Column) -> DataFrame:
     )
 
 
-def _quantiles(df: DataFrame, groups: Sequence[str], value: Column, shares: Sequence[float], name: str) -> DataFrame:
-    """Exact quantiles per group as an array column."""
-    counted = df.where(value.isNotNull()).groupBy(*groups, value.alias("_value")).agg(F.count("*").alias("_times"))
-    array = F.array(*[F.lit(share) for share in shares])
-    return counted.groupBy(*groups).agg(F.percentile("_value", array, F.col("_times")).alias(name))
-
-
 def with_outlier_flags(df: DataFrame, groups: Sequence[str], value: str, fence: float = 1.5) -> DataFrame:
     """Robust z-score (median and MAD) and quartile fences of the row's group."""
     column = F.col(value)
-    quartiles = _quantiles(df, groups, column, (0.25, 0.5, 0.75), "_q").select(
+    quartiles = quantiles(df, groups, column, (0.25, 0.5, 0.75), "_q").select(
         *groups,
         F.col("_q")[1].alias("median"),
         F.round(F.col("_q")[0] - fence * (F.col("_q")[2] - F.col("_q")[0]), 6).alias("dolni_mez"),
@@ -68,7 +61,7 @@ def with_outlier_flags(df: DataFrame, groups: Sequence[str], value: str, fence:
     )
     centred = df.join(quartiles, list(groups), "left")
     distance = F.round(F.abs(column - F.col("median")), 6)
-    mads = _quantiles(centred, groups, distance, (0.5,), "_m").select(*groups, F.col("_m")[0].alias("mad"))
+    mads = quantiles(centred, groups, distance, (0.5,), "_m").select(*groups, F.col("_m")[0].alias("mad"))
     # 0.6745 scales the MAD of a normal distribution to its standard deviation.
     robust = F.when(F.col("mad") > 0, F.round(0.6745 * (column - F.col("median")) / F.col("mad"), 6))
     outside = (column < F.col("dolni_mez")) | (column > F.col("horni_mez"))
@@ -78,12 +71,14 @@ def with_outlier_flags(df: DataFrame, groups: Sequence[str], value: str, fence:
 def limit_margins(values: DataFrame) -> DataFrame:
     """Distance of each measured value to its limits; negative means outside.
 
-    Takes the long measurement table; a text that is no number gives null.
+    Takes the long measurement table; a value's own limit comes before the
+    record's.  A text that is no number gives null.
     """
-    number = {name: F.col(name).try_cast("decimal(18,6)") for name in ("hodnota", "min_hodnota", "max_hodnota")}
-    return values.withColumn("rezerva_min", number["hodnota"] - number["min_hodnota"]).withColumn(
-        "rezerva_max", number["max_hodnota"] - number["hodnota"]
-    )
+    names = ("hodnota", "min_hodnota", "max_hodnota", "min_zaznamu", "max_zaznamu")
+    number = {name: F.col(name).try_cast("decimal(18,6)") for name in names}
+    low = F.coalesce(number["min_hodnota"], number["min_zaznamu"])
+    high = F.coalesce(number["max_hodnota"], number["max_zaznamu"])
+    return values.withColumn("rezerva_min", number["hodnota"] - low).withColumn("rezerva_max", high - number["hodnota"])
 
 
 def failure_cube(df: DataFrame, conditions: Sequence[str], failed: Column) -> DataFrame:
@@ -221,9 +216,15 @@ def with_station(df: DataFrame, stations: DataFrame, number: str) -> DataFrame:
 # --- profile and missing values --------------------------------------------------------
 
 
+def _plain(value: Column) -> Column:
+    """A value as text; both zeros of a float are one."""
+    text = value.cast("string")
+    return F.when(text == "-0.0", "0.0").otherwise(text)
+
+
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: rows, nulls, distinct values, smallest and largest text and
-    the most frequent value (the smallest of several).
+    """Per column: rows, nulls, distinct values, smallest and largest value in
+    the column's own order, and the most frequent one (the smallest text of several).
 
     Values are counted per column first, so the second step sees each distinct
     value once.
@@ -233,38 +234,42 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counted = stacked.groupBy("sloupec", "hodnota").agg(F.count("*").alias("_times"))
     present = F.col("hodnota").isNotNull()
     top = F.min(F.when(present, F.struct((-F.col("_times")).alias("t"), F.col("hodnota").alias("v"))))
-    return counted.groupBy("sloupec").agg(
+    ends = df.agg(
+        *[
+            F.struct(
+                F.lit(name).alias("sloupec"),
+                _plain(F.min(f"`{name}`")).alias("nejmensi"),
+                _plain(F.max(f"`{name}`")).alias("nejvetsi"),
+            ).alias(f"c{i}")
+            for i, name in enumerate(columns)
+        ]
+    ).select(F.inline(F.array(*[f"c{i}" for i in range(len(columns))])))
+    counts = counted.groupBy("sloupec").agg(
         F.sum("_times").alias("radku"),
         F.coalesce(F.sum(F.when(~present, F.col("_times"))), F.lit(0)).alias("prazdnych"),
         F.count("hodnota").alias("ruznych"),
-        F.min("hodnota").alias("nejmensi"),
-        F.max("hodnota").alias("nejvetsi"),
         top["v"].alias("nejcastejsi"),
         (-top["t"]).alias("nejcastejsi_krat"),
     )
+    return counts.join(ends, "sloupec")
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
-    """Per numeric column: mean and approximate quartiles, in one pass."""
-    row = df.agg(
-        *[F.avg(name).alias(f"mean_{i}") for i, name in enumerate(columns)],
-        *[F.percentile_approx(name, [0.25, 0.5, 0.75], accuracy).alias(f"q_{i}") for i, name in enumerate(columns)],
+def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per numeric column: mean and exact quartiles (values that occur)."""
+    stacked = df.select(*[F.col(f"`{name}`").cast("double").alias(name) for name in columns]).unpivot(
+        [], list(columns), "sloupec", "hodnota"
+    )
+    means = stacked.groupBy("sloupec").agg(F.round(F.avg("hodnota"), 6).alias("prumer"))
+    ends = quantiles(stacked, ["sloupec"], F.col("hodnota"), (0.25, 0.5, 0.75), "_q", discrete=True)
+    return means.join(ends, "sloupec", "left").select(
+        "sloupec", "prumer", *[F.col("_q")[n].alias(f"kvartil_{n + 1}") for n in range(3)]
     )
-    entries = [
-        F.struct(
-            F.lit(name).alias("sloupec"),
-            F.round(F.col(f"mean_{i}").cast("double"), 6).alias("prumer"),
-            *[F.col(f"q_{i}")[n].cast("double").alias(f"kvartil_{n + 1}") for n in range(3)],
-        )
-        for i, name in enumerate(columns)
-    ]
-    return row.select(F.inline(F.array(*entries)))
 
 
 def fill_median(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Missing numbers become the group's median, or the overall one."""
-    medians = _quantiles(df, groups, F.col(value), (0.5,), "_median")
-    overall = _quantiles(df, [], F.col(value), (0.5,), "_median").first()
+    medians = quantiles(df, groups, F.col(value), (0.5,), "_median")
+    overall = quantiles(df, [], F.col(value), (0.5,), "_median").first()
     fallback = overall["_median"][0] if overall and overall["_median"] else None
     filled = F.coalesce(F.col(value), F.col("_median")[0], F.lit(fallback))
     return df.join(medians, list(groups), "left").withColumn(value, filled).drop("_median")

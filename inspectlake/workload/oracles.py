@@ -266,15 +266,23 @@ def measurement_long() -> str:
     columns = f"""
         CASE WHEN q <> 3 THEN CASE WHEN ({K} + q) % 7 = 0 THEN 'false' ELSE 'true' END END AS vysledek,
         CASE WHEN q % 2 = 0 THEN CAST(({K} + q) % 10 AS VARCHAR) END AS min_hodnota,
-        CASE WHEN q % 3 = 0 THEN CAST(({K} + q) % 10 + 100 AS VARCHAR) END AS max_hodnota"""
+        CASE WHEN q % 2 = 0 THEN 'false' END AS min_rucni,
+        CASE WHEN q % 3 = 0 THEN CAST(({K} + q) % 10 + 100 AS VARCHAR) END AS max_hodnota,
+        CASE WHEN q % 3 = 0 THEN CASE q % 2 WHEN 1 THEN 'true' ELSE 'false' END END AS max_rucni"""
+    # A diesel record states limits for the first five quantities of a run; the
+    # fourth of its six limits is of none of them.
+    stated = f"({K} + q + CASE WHEN q > 2 THEN 1 ELSE 0 END) % 10"
+    limits = f"""CASE WHEN q < 5 THEN CAST({stated} AS VARCHAR) END AS min_zaznamu,
+        CASE WHEN q < 5 THEN CAST({stated} + 100 AS VARCHAR) END AS max_zaznamu"""
     spark = f"""SELECT {PROTOCOL} AS "CisloProtokolu",
             CASE {K} % 3 WHEN 0 THEN 'Benzin' ELSE 'Plyn' END AS palivo, CAST(v AS INT) AS vyusteni, rezim,
-            CAST(NULL AS INT) AS beh, velicina, {_value("v", "r", "q")} AS hodnota, {columns}
+            CAST(NULL AS INT) AS beh, velicina, {_value("v", "r", "q")} AS hodnota, {columns},
+            CAST(NULL AS VARCHAR) AS min_zaznamu, CAST(NULL AS VARCHAR) AS max_zaznamu
         FROM orders, range(0, 5) AS a(v), {_named(m.REGIMES)} AS b(rezim, r), {_named(m.REGIME_QUANTITIES)} AS c(velicina, q)
         WHERE {K} % 3 <> 1 AND v < {OUTLETS}"""
     diesel = f"""SELECT {PROTOCOL} AS "CisloProtokolu", 'Nafta' AS palivo, CAST(v AS INT) AS vyusteni,
             CASE WHEN r = 0 THEN 'MereniPrumer' ELSE 'Mereni' END AS rezim,
-            CASE WHEN r > 0 THEN CAST(r - 1 AS INT) END AS beh, velicina, {_value("v", "r", "q")} AS hodnota, {columns}
+            CASE WHEN r > 0 THEN CAST(r - 1 AS INT) END AS beh, velicina, {_value("v", "r", "q")} AS hodnota, {columns}, {limits}
         FROM orders, range(0, 5) AS a(v), range(0, 7) AS b(r), {_named(m.RUN_QUANTITIES)} AS c(velicina, q)
         WHERE {K} % 3 = 1 AND v < {OUTLETS} AND r <= {RUNS}"""
     return f"{spark} UNION ALL {diesel}"
@@ -424,24 +432,25 @@ SELECT kod, s_kodem, s_kodem_neuspech, round((n * s_kodem_neuspech - s_kodem * f
 
 
 def _profile() -> str:
-    columns = {
-        "l_suppkey": "l_suppkey",
-        "l_linenumber": "l_linenumber",
-        "l_returnflag": "l_returnflag",
-        "l_linestatus": "l_linestatus",
-        "l_tax": "nullif(l_linenumber, 3)",
-    }
+    names = """l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag
+        l_linestatus l_shipdate""".split()
+    columns = {name: name for name in names} | {"bez_trojky": "nullif(l_linenumber, 3)"}
     stacked = " UNION ALL ".join(
         f"SELECT '{name}' AS sloupec, CAST({value} AS VARCHAR) AS hodnota FROM lineitem" for name, value in columns.items()
     )
-    return f"""WITH s AS ({stacked}), c AS (SELECT sloupec, hodnota, count(*) AS n FROM s GROUP BY 1, 2),
+    ends = " UNION ALL ".join(
+        f"""SELECT '{name}' AS sloupec, regexp_replace(CAST(min({value}) AS VARCHAR), '^-0.0$', '0.0') AS nejmensi,
+        CAST(max({value}) AS VARCHAR) AS nejvetsi FROM lineitem"""
+        for name, value in columns.items()
+    )
+    return f"""WITH s AS ({stacked}), e AS ({ends}), c AS (SELECT sloupec, hodnota, count(*) AS n FROM s GROUP BY 1, 2),
         t AS (SELECT sloupec, hodnota, n, row_number() OVER (PARTITION BY sloupec ORDER BY n DESC, hodnota) AS r
             FROM c WHERE hodnota IS NOT NULL)
         SELECT c.sloupec, CAST(sum(c.n) AS BIGINT) AS radku,
             CAST(coalesce(sum(c.n) FILTER (c.hodnota IS NULL), 0) AS BIGINT) AS prazdnych, count(c.hodnota) AS ruznych,
-            min(c.hodnota) AS nejmensi, max(c.hodnota) AS nejvetsi, any_value(t.hodnota) AS nejcastejsi,
+            any_value(e.nejmensi) AS nejmensi, any_value(e.nejvetsi) AS nejvetsi, any_value(t.hodnota) AS nejcastejsi,
             any_value(t.n) AS nejcastejsi_krat
-        FROM c JOIN t ON t.sloupec = c.sloupec AND t.r = 1 GROUP BY 1"""
+        FROM c JOIN t ON t.sloupec = c.sloupec AND t.r = 1 JOIN e ON e.sloupec = c.sloupec GROUP BY 1"""
 
 
 IMPUTE = """
@@ -472,14 +481,7 @@ def oracle_sql() -> dict[str, str]:
     head = _select(measurement_head_columns())
     vehicle = f"SELECT * FROM events WHERE user_id = {USER} ORDER BY ts, event_id LIMIT 1000"
     wide = dict(zip(m.wide_columns(), _wide_values(), strict=True))
-    limits = [
-        "Nafta_KourivostRozpeti_Max_Hodnota",
-        "Nafta_OtackyVolnobezne_Min_Hodnota",
-        "Nafta_Tps_Max_RucniZadani",
-        "Plyn_Nadrz_Vyrobce",
-        "Plyn_Nadrz_Homologace",
-        "Plyn_Nadrz_Kontrola",
-    ]
+    limits = [c for c in wide if c.startswith(("Nafta_", "Plyn_Nadrz_")) and "Vyusteni" not in c and c != "Nafta_Palivo"]
     diesel = f"FROM orders WHERE {K} % 3 = 1"
     return {
         "inspection_flatten": f"SELECT {inspection}, {MONTH} AS den FROM orders WHERE {KEPT}",
@@ -501,7 +503,7 @@ def oracle_sql() -> dict[str, str]:
         "file_status": _statuses(),
         "file_count": "SELECT count(DISTINCT date_trunc('month', o_orderdate)) AS dokumentu FROM orders",
         "ingested_days": f"SELECT {MONTH} AS den FROM orders UNION SELECT DATE '2002-01-01'",
-        "pending_days": f"""SELECT den, soubor FROM ({_document_names()}) WHERE den NOT IN
+        "pending_days": f"""SELECT den, soubor, CAST(row_number() OVER (ORDER BY den, soubor) AS INT) AS poradi FROM ({_document_names()}) WHERE den NOT IN
             (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE {K} % 7 = 0)""",
         "file_dates": FILE_DATES,
         "parquet_scan": f"""SELECT {MONTH} AS den, 'Orders ' || year(o_orderdate) AS soubor, count(*) AS pocet,
@@ -531,16 +533,14 @@ def oracle_sql() -> dict[str, str]:
         "vehicle_history_tail": f"SELECT * FROM ({vehicle}) ORDER BY ts DESC, event_id DESC LIMIT 10",
         "tuple_match": """SELECT l_orderkey, l_partkey, l_quantity, l_discount, l_tax, l_linenumber, l_shipdate
             FROM lineitem WHERE l_quantity = 23.0 AND l_discount = 0.05 AND l_tax = 0.0 AND l_linenumber = 6""",
-        "all_to_text": """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey,
-            CAST(l_suppkey AS VARCHAR) AS l_suppkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
-            l_returnflag, l_linestatus FROM lineitem""",
+        "all_to_text": "SELECT CAST(COLUMNS(*) AS VARCHAR) FROM lineitem",
         "column_ids": """SELECT l_orderkey AS "000", l_partkey AS "001", l_suppkey AS "002", l_linenumber AS "003",
             l_quantity AS "004", l_extendedprice AS "005", l_discount AS "006", l_tax AS "007", l_returnflag AS "008",
             l_linestatus AS "009", l_shipdate AS "00a" FROM lineitem""",
         "lenient_types": LENIENT,
         "cast_losses": _cast_losses(),
         "catalog_listing": CATALOG,
-        "structure_census": f"""SELECT element, count(*) AS zaznamu FROM orders, {_named(m.LIMIT_QUANTITIES.values())}
+        "structure_census": f"""SELECT element, count(*) AS zaznamu, count(DISTINCT {MONTH}) AS souboru FROM orders, {_named(m.LIMIT_QUANTITIES.values())}
             AS e(element, q) WHERE {K} % 3 = 1 AND (q <> 3 OR {K} % 50 = 1) GROUP BY 1""",
         "structure_counts": f"""SELECT CAST(CASE WHEN {K} % 50 = 1 THEN 6 ELSE 5 END AS INT) AS pocet_deti,
             count(*) AS zaznamu {diesel} GROUP BY 1""",
@@ -553,8 +553,8 @@ def oracle_sql() -> dict[str, str]:
             WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
         "child_join": f"""SELECT "Zdroj", "Zavaznost", s AS "Vysledek_Celkovy", count(*) AS pocet
             FROM ({_defects(", o_orderstatus AS s")}) GROUP BY 1, 2, 3""",
-        "dup_signature": """SELECT l_quantity, l_discount, l_tax, count(*) AS radku, count(DISTINCT l_orderkey) AS vozidel
-            FROM lineitem GROUP BY 1, 2, 3 HAVING count(DISTINCT l_orderkey) > 1""",
+        "dup_signature": """SELECT l_quantity, l_extendedprice, l_discount, l_tax, count(*) AS radku,
+            count(DISTINCT l_orderkey) AS vozidel FROM lineitem GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT l_orderkey) > 1""",
         "dup_rows": """SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_partkey FROM lineitem
             SEMI JOIN (SELECT l_quantity, l_discount, l_tax, l_partkey FROM lineitem GROUP BY ALL
                 HAVING count(DISTINCT l_orderkey) > 1) USING (l_quantity, l_discount, l_tax, l_partkey)""",
@@ -568,6 +568,7 @@ def oracle_sql() -> dict[str, str]:
         "numeric_profile": """SELECT sloupec, round(avg(h), 6) AS prumer, quantile_disc(h, 0.25) AS kvartil_1,
             quantile_disc(h, 0.5) AS kvartil_2, quantile_disc(h, 0.75) AS kvartil_3
             FROM (SELECT 'l_quantity' AS sloupec, l_quantity AS h FROM lineitem UNION ALL
+            SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL
             SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY 1""",
         "impute": IMPUTE,
         "unify": _unify(),
@@ -577,8 +578,8 @@ def oracle_sql() -> dict[str, str]:
         "clean_text": f"""SELECT 'CZ-' || {K} AS "CisloProtokolu", 'VIN' || {C} AS "Vozidlo_Vin", 'osobni' AS "Vozidlo_Druh",
             {NULL} AS "Emise_CisloMotoru", CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END AS zastupnych
             FROM orders WHERE {KEPT}""",
-        "limit_margin": f"""WITH v AS (SELECT palivo, velicina, CAST(hodnota AS DECIMAL(18, 6)) - CAST(min_hodnota AS DECIMAL(18, 6)) AS d,
-            CAST(max_hodnota AS DECIMAL(18, 6)) - CAST(hodnota AS DECIMAL(18, 6)) AS h FROM ({measurement_long()}))
+        "limit_margin": f"""WITH v AS (SELECT palivo, velicina, CAST(hodnota AS DECIMAL(18, 6)) - CAST(coalesce(min_hodnota, min_zaznamu) AS DECIMAL(18, 6)) AS d,
+            CAST(coalesce(max_hodnota, max_zaznamu) AS DECIMAL(18, 6)) - CAST(hodnota AS DECIMAL(18, 6)) AS h FROM ({measurement_long()}))
             SELECT palivo, velicina, count(d) AS s_min, count(*) FILTER (d < 0) AS pod_min,
             CAST(sum(d) AS DOUBLE) AS soucet_min, count(*) FILTER (h < 0) AS nad_max, CAST(min(h) AS DOUBLE) AS nejmensi_max
             FROM v GROUP BY 1, 2""",

@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inspectlake.functions import casts, names
 from inspectlake.functions.dates import day_from_path, day_from_title, day_to_text, file_stem, text_to_day
@@ -81,17 +82,10 @@ def measurement_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measurement_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diesel limits and the first gas tank, read through the wide view."""
+    """All diesel limits and the first gas tank, read through the wide view."""
     wide = measurements.wide(measurement_table(spark, sf_dir))
-    columns = [
-        "Nafta_KourivostRozpeti_Max_Hodnota",
-        "Nafta_OtackyVolnobezne_Min_Hodnota",
-        "Nafta_Tps_Max_RucniZadani",
-        "Plyn_Nadrz_Vyrobce",
-        "Plyn_Nadrz_Homologace",
-        "Plyn_Nadrz_Kontrola",
-    ]
-    return wide.select("CisloProtokolu", *columns)
+    chosen = [c for c in wide.columns if c.startswith(("Nafta_", "Plyn_Nadrz_")) and "Vyusteni" not in c and c != "Nafta_Palivo"]
+    return wide.select("CisloProtokolu", *chosen)
 
 
 def measurement_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +161,9 @@ def pending_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     here the days of every seventh order."""
     listing = files.list_files(spark, inspection_feed(spark, sf_dir), FEED_GLOB)
     done = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.to_date("o_orderdate").alias("den"))
-    return files.work_list(files.pending(listing, done.distinct())).select("den", "soubor").distinct()
+    open_documents = files.work_list(files.pending(listing, done.distinct())).select("den", "soubor").distinct()
+    # One row per document; the order of the work list is part of the result.
+    return open_documents.withColumn("poradi", F.row_number().over(Window.orderBy("den", "soubor")))
 
 
 def file_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,16 +352,13 @@ def tuple_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
-    return casts.all_to_text(table(spark, sf_dir, "lineitem").select(*whole))
+    return casts.all_to_text(table(spark, sf_dir, "lineitem"))
 
 
 def column_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     columns = items.columns
     renamed = names.to_ids(items, columns)
-    back = names.from_ids(renamed, columns)
-    assert back.columns == columns
     return renamed
 
 
@@ -432,7 +425,7 @@ def structure_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     children = census.scan_children(
         spark, measurement_feed(spark, sf_dir), "Mereni", "PristrojData.detailNafta.mereniVznetLimit", FEED_GLOB
     )
-    return census.child_names(children).select("element", "zaznamu")
+    return census.child_names(children)
 
 
 def structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,8 +459,10 @@ def childless_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def child_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defects with their inspection, counted by severity and outcome."""
     target = incremental_target(spark, sf_dir)
-    parents = spark.read.parquet(f"{target}/prohlidky").select("CisloProtokolu", "Vysledek_Celkovy")
-    joined = relations.with_parent(spark.read.parquet(f"{target}/zavady"), parents, "CisloProtokolu")
+    text = lambda *columns: T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    parents = tables.read_days(spark, f"{target}/prohlidky", text("CisloProtokolu", "Vysledek_Celkovy"))
+    children = tables.read_days(spark, f"{target}/zavady", text("CisloProtokolu", "Zdroj", "Kod", "Zavaznost"))
+    joined = relations.with_parent(children, parents.drop("den", "soubor"), "CisloProtokolu")
     return joined.groupBy("Zdroj", "Zavaznost", "Vysledek_Celkovy").agg(F.count("*").alias("pocet"))
 
 
@@ -475,7 +470,7 @@ def child_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dup_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = ["l_quantity", "l_discount", "l_tax"]
+    values = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     return analysis.repeated_signatures(table(spark, sf_dir, "lineitem"), values, "l_orderkey")
 
 
@@ -558,13 +553,13 @@ def defect_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").withColumn("l_tax", F.nullif(F.col("l_linenumber"), F.lit(3)))
-    return analysis.profile(items, ["l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_tax"])
+    items = table(spark, sf_dir, "lineitem").withColumn("bez_trojky", F.nullif(F.col("l_linenumber"), F.lit(3)))
+    return analysis.profile(items, items.columns)
 
 
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
-    return analysis.numeric_profile(items, ["l_quantity", "l_discount", "l_tax"])
+    return analysis.numeric_profile(items, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
 def impute(spark: SparkSession, sf_dir: str) -> DataFrame:
