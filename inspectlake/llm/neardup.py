@@ -8,11 +8,11 @@ registers, given both set sizes, sorts out most; the rest is confirmed on the
 full sets.
 
 Equal sets are one class from the start.  In a bucket of candidates links are
-sought in three rounds: from the smallest document to the others; along a
-spanning forest of the likeliest pairs between components not yet joined;
-between all pairs, not tested yet, of documents still in different components.
-So a bucket of any number of copies costs about one test a document, and no
-link between two components goes untested.
+sought first from the smallest document to the others.  Buckets that still hold
+several components then meet in blocks, where likely pairs of different
+components are confirmed, the likeliest first, until they are joined or found
+apart.  So a bucket of any number of copies costs about one test a document, no
+pairs leave a task but links, and no link between two components goes untested.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from inspectlake.llm.components import components
 from inspectlake.llm.shingles import mix, shingle_sets
-from inspectlake.llm.staging import discard, stage
+from inspectlake.llm.staging import stage
 
 #: Sketch parameters: base of the register values, rate, largest value.
 BASE = 1.02
@@ -153,65 +153,72 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 part = part.filter(pa.array(likely))
                 sets = shingle_sets(_raw(part.column("text_a")) + _raw(part.column("text_b")), k)
                 n = part.num_rows
-                linked = []
-                for x, y in zip(sets[:n], sets[n:], strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(100 * common >= percent * (len(x) + len(y) - common))
+                linked = [_alike(x, y, percent) for x, y in zip(sets[:n], sets[n:], strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return full.mapInArrow(run, "a long, b long")
 
 
-def _between(members: DataFrame, texts: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Likely pairs (a, b) of one bucket in different components: a spanning forest of them, or all."""
-    sizes = members.groupBy(F.col("key").alias("size_key")).agg(F.count("*").alias("size"), F.min("root"), F.max("root").alias("top"))
-    open_ = sizes.filter("size > 2 and `min(root)` < top").select("size_key", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+def _between(members: DataFrame, texts: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
+    """Links (a, b) between different components that meet in a bucket."""
+    sizes = members.groupBy(F.col("key").alias("size_key")).agg(
+        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("top")
+    )
+    open_ = sizes.filter("size > 2 and low < top").selectExpr("size_key", f"cast(ceil(size / {BLOCK}) as int) as blocks")
     mine = members.join(open_, F.col("key") == F.col("size_key")).select(
         "key", "id", "root", "lead", "blocks", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("own")
     )
     # A block meets every block: the pair (i, j) is one task, i <= j.
     meet = mine.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", "id", "root", "lead", "own", F.expr("least(own, other)").alias("i"), F.expr("greatest(own, other)").alias("j")
-    )
-    with_registers = meet.join(texts.select(F.col("id").alias("text_id"), "registers", "n_shingles"), F.col("id") == F.col("text_id")).drop("text_id")
+        "key", "id", "root", "lead", "own",
+        F.expr("least(own, other)").alias("i"), F.expr("greatest(own, other)").alias("j"),
+    )
+    side = texts.withColumnRenamed("id", "text_id")
+    full = meet.join(side, F.col("id") == F.col("text_id")).drop("text_id")
 
     def run(table: pa.Table) -> pa.Table:
         ids, roots, lead, own, n = (table[c].to_numpy() for c in ("id", "root", "lead", "own", "n_shingles"))
         registers = np.stack([np.frombuffer(x, dtype=np.uint16) for x in table["registers"].to_pylist()])
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        sketcher = Sketcher(bands)
+        keys = np.stack([sketcher.bands(r) for r in registers])
+        key, same = table["key"][0].as_py(), table["i"][0].as_py() == table["j"][0].as_py()
         enough = least_estimate(percent / 100, registers.shape[1])
         found: list[tuple[float, int, int]] = []
-        for x in range(len(ids)):
-            right = np.flatnonzero((roots != roots[x]) & (ids > ids[x]) & (ids != lead[0]) & ((own != own[x]) | (i == j)))
-            if ids[x] == lead[0] or not len(right):
-                continue
-            # Registers that agree bound the likelihood, so most pairs end here.
-            agree = (registers[right] == registers[x]).sum(axis=1)
-            right = right[agree >= enough * registers.shape[1] * 0.9]
+        for x in np.flatnonzero(ids != lead[0]).tolist():
+            right = np.flatnonzero((roots != roots[x]) & (ids > ids[x]) & (ids != lead[0]) & (same | (own != own[x])))
+            # A pair is looked at in the first bucket that it shares; with the smallest of that it has been tested.
+            shared = keys[right] == keys[x]
+            right = right[keys[x][shared.argmax(axis=1)] == key]
             if len(right):
-                score = likelihood_estimate(np.broadcast_to(registers[x], registers[right].shape), registers[right], np.full(len(right), n[x]), n[right])
-                found += [(-s, x, int(y)) for s, y in zip(score.tolist(), right, strict=True) if s >= enough]
-        if forest:
-            head = {r: r for r in roots.tolist()}
-
-            def top(r: int) -> int:
-                while head[r] != r:
-                    head[r] = head[head[r]]
-                    r = head[r]
-                return r
-
-            kept = []
-            for s, x, y in sorted(found):
-                p, q = top(int(roots[x])), top(int(roots[y]))
-                if p != q:
-                    head[p] = q
-                    kept.append((s, x, y))
-            found = kept
-        a = np.array([ids[x] for _, x, _ in found], dtype=np.int64)
-        b = np.array([ids[y] for _, _, y in found], dtype=np.int64)
+                pair = np.broadcast_to(registers[x], (len(right), registers.shape[1]))
+                score = likelihood_estimate(pair, registers[right], np.full(len(right), n[x]), n[right])
+                likely = score >= enough
+                found += [(-s, x, y) for s, y in zip(score[likely].tolist(), right[likely].tolist(), strict=True)]
+        needed = sorted({x for _, *pair in found for x in pair})
+        raw = _raw(table["text"].combine_chunks().take(pa.array(needed, pa.int64())))
+        sets = dict(zip(needed, shingle_sets(raw, k), strict=True))
+        head: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in head:
+                r = head[r]
+            return r
+
+        links = []
+        for _, x, y in sorted(found):
+            p, q = top(int(roots[x])), top(int(roots[y]))
+            if p != q and _alike(sets[x], sets[y], percent):
+                head[p] = q
+                links.append((ids[x], ids[y]))
+        a, b = (np.array([pair[i] for pair in links], dtype=np.int64) for i in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    return with_registers.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return full.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _roots(members: DataFrame, joined: DataFrame) -> DataFrame:
@@ -252,13 +259,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     star = members.filter("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = stage(_verified(star, texts, k, percent), "links")
     joined = components(links)
-    for forest in (True, False):
-        pairs = stage(_between(_roots(members, joined), texts, percent, forest), "pairs")
-        if not pairs.isEmpty():
-            more = stage(_verified(pairs, texts, k, percent), "links")
-            links = links.union(more)
-            joined = components(links)
-        discard(pairs)
+    more = stage(_between(_roots(members, joined), texts, k, percent, bands), "links")
+    if not more.isEmpty():
+        joined = components(links.union(more))
     found = rows.select("row_id", "n_shingles", "set_hash").join(classes, F.col("set_hash") == F.col("class"), "left")
     side = joined.select(F.col("id").alias("node"), "root")
     component = F.coalesce("root", "id", F.when(F.col("set_hash").isNull(), F.col("row_id")))
