@@ -190,10 +190,19 @@ def inspection_record() -> str:
 
 
 def inspection_feed(spark: SparkSession, sf_dir: str) -> str:
+    return _inspection_feed(spark, sf_dir, "prohlidky_xml", 1)
+
+
+def split_inspection_feed(spark: SparkSession, sf_dir: str) -> str:
+    """The same documents, each in three part files at least."""
+    return _inspection_feed(spark, sf_dir, "prohlidky_casti_xml", 3)
+
+
+def _inspection_feed(spark: SparkSession, sf_dir: str, name: str, parts: int) -> str:
     return once(
         spark,
         sf_dir,
-        "prohlidky_xml",
+        name,
         lambda target: write_feed(
             spark,
             orders_by_month(spark, sf_dir, "Prohlidky vozidel za"),
@@ -202,6 +211,7 @@ def inspection_feed(spark: SparkSession, sf_dir: str) -> str:
             "ProhlidkaSeznam",
             "istp:opendata:schemas:ProhlidkaSeznam:v1",
             target,
+            parts,
         ),
     )
 

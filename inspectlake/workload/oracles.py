@@ -512,6 +512,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT soubor, false FROM ({_document_names()})""",
         "incremental_ingest": _table_counts(),
         "stream_ingest": _table_counts(),
+        "ingest_split_stream": _table_counts(),
+        "ingest_late_part": _table_counts(),
         "ingest_commits": f"""SELECT soubor, den, 'ok' AS stav, count(*) AS zaznamu FROM
             (SELECT 'Prohlidky vozidel za ' || strftime(date_trunc('month', o_orderdate), '%d-%m-%Y') AS soubor,
             {MONTH} AS den FROM orders) GROUP BY 1, 2""",

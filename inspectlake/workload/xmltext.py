@@ -43,13 +43,15 @@ def write_feed(
     list_name: str,
     namespace: str,
     target: str,
+    least_parts: int = 1,
 ) -> str:
     """Write ``rows`` (with their document name in ``soubor``) as gzipped XML.
 
     The text is built after the shuffle, so only the source columns move; the
     partition count is explicit, as the text is many times their size.  A
     document is cut into part files by its own row count, so one day that
-    holds a large share of all rows is still written by many tasks.
+    holds a large share of all rows is still written by many tasks; it has
+    ``least_parts`` at least.
     """
     opening = (
         '<?xml version="1.0" encoding="utf-8"?>\n'
@@ -57,7 +59,7 @@ def write_feed(
         f'<{list_name} xmlns="{namespace}">'
     )
     closing = f"</{list_name}></DatovyObsah></DatovaSada>"
-    parts = rows.groupBy("soubor").agg(F.ceil(F.count("*") / RECORDS_PER_FILE).cast("int").alias("kusu"))
+    parts = rows.groupBy("soubor").agg(F.greatest(F.ceil(F.count("*") / RECORDS_PER_FILE), F.lit(least_parts)).cast("int").alias("kusu"))
     # One row per document on the right; Spark broadcasts it if it is small.
     numbered = rows.join(parts, "soubor").withColumn(
         "kus", F.pmod(F.xxhash64(key), F.col("kusu")).cast("int")
