@@ -6,6 +6,7 @@ share, so a lost executor costs the tasks it ran and nothing behind them.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +16,26 @@ from inspectlake.session import shared_dir
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; this cuts lineage.
-
-    Shuffle files of the finished write are of no more use; collecting the
-    driver's garbage lets Spark's cleaner remove them now, before the next step
-    needs the disk.
-    """
+    """Write ``df`` to the shared folder and read it back; this cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    _sweep(spark)
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()
+    time.sleep(0.5)
+    _sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files that no plan refers to any more.
+
+    It learns of them when the driver collects garbage, which a small driver
+    heap would leave for long; the next step needs the disk now.  A finished
+    write is let go of shortly after its end, hence the pause before.
+    """
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Remove the staged table behind ``df`` once nothing reads it any more."""
     spark = df.sparkSession
