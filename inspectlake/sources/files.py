@@ -129,8 +129,11 @@ def pending(listing: DataFrame, processed: DataFrame, on: str | Sequence[str] =
 
 
 def sample_files(listing: DataFrame, count: int, seed: int) -> DataFrame:
-    """A repeatable random choice of files, for a look at a part of a feed."""
-    return listing.orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(count)
+    """A repeatable random choice of files, for a look at a part of a feed.
+
+    The document's name decides, so the choice is the same wherever the feed lies.
+    """
+    return listing.orderBy(F.md5(F.concat_ws("|", F.coalesce("soubor", "path"), F.lit(seed))), "path").limit(count)
 
 
 def _open(path: str):

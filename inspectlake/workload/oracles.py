@@ -544,6 +544,12 @@ def oracle_sql() -> dict[str, str]:
         "catalog_listing": CATALOG,
         "structure_census": f"""SELECT element, count(*) AS zaznamu, count(DISTINCT {MONTH}) AS souboru FROM orders, {_named(m.LIMIT_QUANTITIES.values())}
             AS e(element, q) WHERE {K} % 3 = 1 AND (q <> 3 OR {K} % 50 = 1) GROUP BY 1""",
+        "sampled_census": f"""WITH n AS (SELECT DISTINCT {MONTH} AS den,
+            'Data z mericich pristroju za ' || strftime(date_trunc('month', o_orderdate), '%d-%m-%Y') AS soubor FROM orders),
+            d AS (SELECT den FROM n ORDER BY md5(soubor || '|7') LIMIT 5)
+            SELECT element, count(*) AS zaznamu, count(DISTINCT {MONTH}) AS souboru
+            FROM orders, {_named(m.LIMIT_QUANTITIES.values())} AS e(element, q)
+            WHERE {K} % 3 = 1 AND (q <> 3 OR {K} % 50 = 1) AND {MONTH} IN (SELECT den FROM d) GROUP BY 1""",
         "structure_counts": f"""SELECT CAST(CASE WHEN {K} % 50 = 1 THEN 6 ELSE 5 END AS INT) AS pocet_deti,
             count(*) AS zaznamu {diesel} GROUP BY 1""",
         "child_integrity": """WITH c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)

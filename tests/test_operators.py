@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 from datetime import date
@@ -5,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from inspectlake.operators import analysis, model, ranking, relations, search
+from inspectlake.operators import analysis, model, ranking, relations, report, search
 from inspectlake.sources import catalogue
 
 
@@ -42,6 +43,41 @@ def test_rank_matches_its_definition(frame, scores):
     assert got == {i: 1 + sum(other > s for other in scores) for i, s in enumerate(scores)}
 
 
+def test_rows_without_a_score_rank_last(frame):
+    df = frame([("a", 2.0), ("b", None), ("c", 3.0), ("d", None)], "k string, s double")
+    assert {r.k: r.poradi for r in ranking.with_rank(df, "s").collect()} == {"a": 2, "b": 3, "c": 1, "d": 3}
+
+
+@pytest.mark.parametrize("discrete", [False, True])
+def test_quantiles_of_a_hot_group(frame, discrete):
+    rng = random.Random(5)
+    rows = [("hot" if i % 3 else "cold", None if i % 50 == 0 else rng.choice([rng.random(), 0.5])) for i in range(3000)]
+    rows += [(None, 1.0), ("none", None)]
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = ranking.quantiles(frame(rows, "g string, v double"), ["g"], F.col("v"), shares, "q", discrete, buckets=16)
+    out = {r.g: list(r.q) for r in got.collect()}
+    assert set(out) == {"hot", "cold", None}
+    for g, found in out.items():
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        for share, q in zip(shares, found, strict=True):
+            place = share * (len(values) - 1)
+            low = math.floor(place)
+            want = values[low] + (place - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+            if discrete:
+                want = values[max(1, math.ceil(share * len(values))) - 1]
+            assert q == pytest.approx(want)
+
+
+def test_a_day_that_lost_its_rows_leaves_the_report(spark, frame, tmp_path):
+    schema = "CisloProtokolu string, Prohlidka_Stanice_Kraj string, Vysledek_Celkovy string, den date, soubor string"
+    days = [date(2020, 1, 1), date(2020, 1, 2)]
+    rows, path = str(tmp_path / "rows"), str(tmp_path / "report")
+    for kept in (days, days[:1]):
+        frame([("1", "K", "F", day, "d") for day in kept], schema).write.mode("overwrite").parquet(rows)
+        report.refresh_report(spark, rows, path, days)
+    assert [r.den for r in spark.read.parquet(path).collect()] == days[:1]
+
+
 def test_outliers_match_statistics(frame):
     rng = random.Random(2)
     rows = [(g, round(rng.gauss(10, 2), 2)) for g in "ab" for _ in range(101)] + [("a", 99.0)]
@@ -139,6 +175,12 @@ def test_catalogue(frame):
         c.to_fetch(nameless, F.lit(date(2020, 1, 1))).collect()
 
 
+def test_model_uses_rows_with_missing_features(spark, frame):
+    rows = [(i, None if i % 2 else float(i % 10), i % 10 > 4) for i in range(400)] + [(1000, 1.0, None)]
+    outcome = model.fit_outcome(frame(rows, "k int, x double, bad boolean"), ["x"], "bad", ["k"], iterations=2)
+    assert all(0.5 <= auc <= 1 for auc in outcome.aucs.values())
+
+
 def test_model_prefers_the_shape_it_can_fit(spark, frame):
     rng = random.Random(3)
     rows = [(i, x, y, (x > 0.5) != (y > 0.5)) for i in range(2000) for x, y in [(rng.random(), rng.random())]]
