@@ -240,7 +240,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     bands = bands_needed(percent / 100)
     rows = stage(sketch(docs, key, text, k, bands), "sketches")
-    classes = rows.filter("set_hash is not null").groupBy(F.col("set_hash").alias("class")).agg(F.min("row_id").alias("id"))
+    # Written, so that a join with a class of very many copies is one of two plain inputs, which Spark can split.
+    classes = stage(
+        rows.filter("set_hash is not null").groupBy(F.col("set_hash").alias("class")).agg(F.min("row_id").alias("id")),
+        "classes",
+    )
     firsts = rows.join(classes.filter("id is not null"), (F.col("set_hash") == F.col("class")) & (F.col("row_id") == F.col("id")))
     exploded = firsts.select("id", F.explode("bands").alias("key")).distinct()
     buckets = exploded.groupBy(F.col("key").alias("bucket")).agg(F.min("id").alias("lead"), F.max("id").alias("last"))
