@@ -116,8 +116,15 @@ def repeat(mixed: DataFrame) -> DataFrame:
 
 
 def mix_table(docs: DataFrame, size: str, **options) -> tuple[DataFrame, DataFrame]:
-    """``mix`` over a table with one ``source`` a document, staged first."""
-    (member,) = free("member", among=docs.columns)
-    held = stage(docs.withColumn(member, F.array("source")), "mix")
-    mixed, quotas = mix(held, member, size, **options)
-    return mixed.drop(member), quotas
+    """``mix`` over a table with one ``source`` a document.
+
+    Only numbers and sources go through the mix; the documents, numbered in a
+    written table, are joined with what it decides, once.
+    """
+    key = options.get("key", "doc_id")
+    member, row = free("member", "row", among=docs.columns)
+    held = stage(docs.drop("mix_sources").withColumn(row, F.monotonically_increasing_id()), "mix")
+    narrow = held.select(row, key, F.col(size).alias("size"), F.array("source").alias(member))
+    mixed, quotas = mix(narrow, member, "size", **options)
+    decided = mixed.select(F.col(row).alias(f"{row}_of"), "mix_sources")
+    return held.join(decided, F.col(row) == F.col(f"{row}_of")).drop(row, f"{row}_of"), quotas
