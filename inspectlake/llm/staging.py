@@ -21,7 +21,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     _sweep(spark)
     df.write.option("compression", "zstd").parquet(path)
-    time.sleep(0.5)
+    time.sleep(1.5)
     _sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
