@@ -4,8 +4,9 @@ Every text node has a path of tags (with classes) from the root.  Per path, the
 mean text length and the mean punctuation of its nodes are computed, smoothed
 over neighbouring nodes in page order and fused; paths above a threshold
 relative to the spread of the page are content.  Nodes beside content in the
-same container, or in the same article, belong to it as well.  Elements that
-are never content (menus, forms, scripts ...) are left out before.
+same container belong to it as well, and so does the rest of an article that
+holds most of the passing text.  Elements that are never content (menus,
+forms, scripts ...) are left out before.
 """
 
 from __future__ import annotations
@@ -158,6 +159,14 @@ def _container(element: _Element) -> _Element:
     return element
 
 
+def _roots(element: _Element) -> Iterator[_Element]:
+    """The articles around an element, innermost first."""
+    root = element.root
+    while root is not None:
+        yield root
+        root = root.parent.root
+
+
 def main_text(html: str | None) -> str:
     """The main text, white space turned into single spaces; empty if there is none."""
     nodes = [(e, t, b) for e, t, b in text_nodes(html or "")]
@@ -178,15 +187,18 @@ def main_text(html: str | None) -> str:
     values = [ratio[e.path] for e, _, _ in full]
     mean = sum(values) / len(values)
     spread = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
-    content = [e for e, _, _ in full if ratio[e.path] >= LAMBDA * spread]
-    roots = {id(e.root) for e in content if e.root is not None}
-    places = {id(_container(e)) for e in content} if not roots else set()
-    chosen = {e.path for e in content} if not roots else set()
+    content = [(e, len(t)) for e, t, _ in full if ratio[e.path] >= LAMBDA * spread]
+    passing = sum(n for _, n in content)
+    within = defaultdict(int)
+    for e, n in content:
+        for root in _roots(e):
+            within[id(root)] += n
+    chosen = {e.path for e, _ in content}
+    places = {id(_container(e)) for e, _ in content}
 
     def kept(e: _Element) -> bool:
-        if roots:
-            return e.root is not None and id(e.root) in roots
-        return e.path in chosen or id(_container(e)) in places
+        whole = e.root is not None and 2 * within[id(e.root)] > passing
+        return whole or e.path in chosen or id(_container(e)) in places
 
     blocks: dict[int, list[str]] = {}
     for element, text, block in nodes:

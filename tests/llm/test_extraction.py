@@ -26,6 +26,22 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+CARD = "A teaser of some other page, with a comma."
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div class=body>" + f"<p>{PROSE}</p>" * 30 + f"</div><article class=card><p>{CARD}</p></article>", " ".join([PROSE] * 30 + [CARD])),
+        (f"<div><article><h2>One</h2><p>{PROSE}</p><p>{PROSE}</p></article><article><h2>Two</h2><p>Short.</p></article><article><p>{PROSE}</p></article></div>",
+         f"One {PROSE} {PROSE} Two Short. {PROSE}"),
+        (f"<main><h1>Head</h1><article><p>{PROSE}</p></article></main>", f"Head {PROSE}"),
+    ],
+)
+def test_articles_do_not_hide_what_passes(html, text):
+    assert main_text(html) == text
+
+
 def test_long_pages_are_not_cut():
     html = "<article>" + f"<p>{PROSE}</p>" * 5000 + "</article>"
     assert main_text(html) == " ".join([PROSE] * 5000)
