@@ -5,8 +5,10 @@ mean text length and the mean punctuation of its nodes are computed, smoothed
 over neighbouring nodes in page order and fused; paths above a threshold
 relative to the spread of the page are content.  Nodes beside content in the
 same container belong to it as well, and so does the rest of an article that
-holds most of the passing text.  Elements that are never content (menus,
-forms, scripts ...) are left out before.
+holds most of the passing text.  Paths whose classes hint at what is beside
+the article have their score lowered, unless such elements hold most of the
+text.  Elements that are never content (menus, scripts, forms that hold less
+than most of the text ...) are left out before.
 """
 
 from __future__ import annotations
@@ -54,8 +56,8 @@ TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^<>]*(?:>|\Z)|[^<]+|<""",
     re.DOTALL,
 )
-HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡«»„“”\"]")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -63,23 +65,37 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LAMBDA = 0.5
 #: Weights of a node and its neighbours when smoothing.
 KERNEL = (0.25, 0.5, 0.25)
-#: An element that holds this share of the text is not beside the article, whatever its class says.
+#: Elements alike in place and hints that hold this share of the text are not beside the article.
 DOMINANT = 0.7
+#: Others have their paths' scores lowered to this, times the root of their share.
+LOWERED = 0.15
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Values by name; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "beside", "never", "root")
+    __slots__ = ("tag", "parent", "path", "beside", "never", "forms", "root")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None):
         self.tag, self.parent = tag, parent
-        names = " ".join(next(filter(None, m), "") for m in HINTS.findall(attributes)) if attributes else ""
+        own = _attributes(attributes) if attributes else {}
+        names = " ".join(filter(None, (own.get(k) for k in ("class", "id", "role"))))
         label = f"{tag}.{re.sub(r'[0-9]+', '', names)}" if names else tag
         self.path = f"{parent.path}/{label}" if parent else label
-        self.never = tag in NEVER or (parent is not None and parent.never) or bool(attributes and HIDDEN.search(attributes))
-        hinted = bool(names) and tag not in ("html", "body", *ROOTS) and any(
-            w.lower() in BESIDE for w in WORDS.findall(names)
-        )
-        self.beside = ((self,) if hinted else ()) + (parent.beside if parent else ())
+        hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or UNSHOWN.search(own.get("style", ""))
+        self.never = (tag in NEVER and tag != "form") or (parent is not None and parent.never) or bool(hidden)
+        self.forms = ((self,) if tag == "form" else ()) + (parent.forms if parent else ())
+        words = frozenset()
+        if names and tag not in ("html", "body", *ROOTS):
+            words = frozenset(w.lower() for w in WORDS.findall(names)) & BESIDE
+        # Elements with the same hints in the same place are judged together.
+        self.beside = (((parent.path if parent else "", words),) if words else ()) + (parent.beside if parent else ())
         self.root = self if tag in ROOTS else parent.root if parent else None
 
 
@@ -159,6 +175,18 @@ def _container(element: _Element) -> _Element:
     return element
 
 
+def _outside_forms(nodes: list[tuple[_Element, str, int]]) -> list[tuple[_Element, str, int]]:
+    """The nodes but those of forms; a form around most of the text is no form but the page."""
+    if not any(e.forms for e, _, _ in nodes):
+        return nodes
+    held: dict[int, int] = defaultdict(int)
+    for element, text, _ in nodes:
+        for form in element.forms:
+            held[id(form)] += len(text.strip())
+    everything = sum(len(text.strip()) for _, text, _ in nodes)
+    return [n for n in nodes if all(2 * held[id(form)] > everything for form in n[0].forms)]
+
+
 def _roots(element: _Element) -> Iterator[_Element]:
     """The articles around an element, innermost first."""
     root = element.root
@@ -169,21 +197,23 @@ def _roots(element: _Element) -> Iterator[_Element]:
 
 def main_text(html: str | None) -> str:
     """The main text, white space turned into single spaces; empty if there is none."""
-    nodes = [(e, t, b) for e, t, b in text_nodes(html or "")]
+    nodes = _outside_forms(text_nodes(html or ""))
     full = [n for n in nodes if n[1].strip()]
     if not full:
         return ""
-    held = defaultdict(int)
+    held: dict[tuple, int] = defaultdict(int)
     everything = 0
     for element, text, _ in full:
         everything += len(text)
-        for hint in element.beside:
-            held[id(hint)] += len(text)
-    beside = lambda e: any(held[id(h)] < DOMINANT * everything for h in e.beside)
-    full = [n for n in full if not beside(n[0])]
-    if not full:
-        return ""
-    ratio = _ratios(full)
+        for hint in dict.fromkeys(element.beside):
+            held[hint] += len(text)
+    factor: dict[str, float] = {}
+    for element, _, _ in full:
+        share = min((held[hint] / everything for hint in element.beside), default=1.0)
+        factor[element.path] = 1.0 if share >= DOMINANT else LOWERED * share**0.5
+    # What is beside does not change the scores of the rest.
+    ratio = _ratios(full) | _ratios([n for n in full if factor[n[0].path] == 1.0])
+    ratio = {path: value * factor[path] for path, value in ratio.items()}
     values = [ratio[e.path] for e, _, _ in full]
     mean = sum(values) / len(values)
     spread = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
@@ -194,15 +224,18 @@ def main_text(html: str | None) -> str:
         for root in _roots(e):
             within[id(root)] += n
     chosen = {e.path for e, _ in content}
-    places = {id(_container(e)) for e, _ in content}
+    places = {id(_container(e)) for e, _ in content if factor[e.path] == 1.0}
 
     def kept(e: _Element) -> bool:
-        whole = e.root is not None and 2 * within[id(e.root)] > passing
-        return whole or e.path in chosen or id(_container(e)) in places
+        if e.path in chosen:
+            return True
+        if factor.get(e.path, 1.0) < 1.0:
+            return False
+        return (e.root is not None and 2 * within[id(e.root)] > passing) or id(_container(e)) in places
 
     blocks: dict[int, list[str]] = {}
     for element, text, block in nodes:
-        if not beside(element) and kept(element):
+        if kept(element):
             blocks.setdefault(block, []).append(text)
     return " ".join(" ".join(t) for b in blocks.values() if (t := "".join(b).split()))
 

@@ -42,6 +42,30 @@ def test_articles_do_not_hide_what_passes(html, text):
     assert main_text(html) == text
 
 
+LINK = "<a href=x>Link</a>"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div><p title='a hidden gem' data-x=\"aria-hidden=true\">{PROSE}</p></div>", PROSE),
+        (f"<div class='md:flex hidden x'><p>{PROSE}</p></div>", PROSE),
+        (f"<div><p hidden>No.</p><p aria-hidden='true'>No.</p><p style='color:red;display: none'>No.</p><p>{PROSE}</p></div>", PROSE),
+        ("<article>" + f"<div class='elementor-widget t'><p>{PROSE}</p></div>" * 8 + "</article>", " ".join([PROSE] * 8)),
+        ("<div>" + f"<div class='elementor-widget a'><h2>Head</h2></div><div class='elementor-widget text'><p>{PROSE}</p></div>" * 4 + "</div>",
+         " ".join([f"Head {PROSE}"] * 4)),
+        (f"<div class=section-header><p>{PROSE}</p><p>{PROSE}</p></div><div class=related-x><p>{PROSE}</p></div><div>{LINK}</div>",
+         " ".join([PROSE] * 3)),
+        (f"<body><form action=x><header>Top</header><div><h1>Head</h1><p>{PROSE}</p></div><input><form>n</form></form></body>", f"Head {PROSE}"),
+        (f"<body><form><label>Your name</label><input></form><div><p>{PROSE}</p></div></body>", PROSE),
+        ("<article>" + f"<p>{PROSE}</p>" * 9 + f"<div class=comments>{f'<div class=comment><p>{PROSE}</p></div>' * 4}</div></article>", " ".join([PROSE] * 9)),
+        ("<article>" + f"<p>{PROSE}</p>" * 9 + f"<div class=newsletter><p>{PROSE}</p></div></article>", " ".join([PROSE] * 9)),
+    ],
+)
+def test_hints_do_not_remove_the_article(html, text):
+    assert main_text(html) == text
+
+
 def test_long_pages_are_not_cut():
     html = "<article>" + f"<p>{PROSE}</p>" * 5000 + "</article>"
     assert main_text(html) == " ".join([PROSE] * 5000)
