@@ -1,9 +1,11 @@
 """The dealt operators against plain versions on small, awkward tables."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import random
 import urllib.parse
 from collections import Counter, defaultdict
@@ -411,6 +413,47 @@ def test_compressed_layers_and_cycles():
     assert secrets.find("\\x41" * 2000 + " " + "A" * 5000) == []
 
 
+def kinds(text):
+    return {s[0] for s in secrets.find(text)}
+
+
+def wrap(text, width):
+    return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_packed_layers_have_no_budget(monkeypatch):
+    rng = random.Random(11)
+    filler = b"some words of no interest. " * 1_300_000  # 35 MB
+    bombs = " ".join(coded(gzip.compress(filler + bytes([65 + i]), 1)) for i in range(2))
+    late = coded(gzip.compress(f"token={'zq12' * 8}".encode()))
+    text = f"{bombs} see {late}."
+    assert [s[:3] for s in secrets.find(text)] == [("assign", len(bombs) + 5, len(text) - 1)]
+    monkeypatch.setattr(secrets, "WINDOW", 2000)
+    monkeypatch.setattr(secrets, "OVERLAP", 300)
+    monkeypatch.setattr(secrets, "PIECE", 100)
+    monkeypatch.setattr(secrets, "LONGEST", 4000)
+    for before in range(1700, 2300, 37):
+        assert kinds(coded(gzip.compress(f"{prose(rng, 2000)[:before]} {KEY} {prose(rng, 900)}".encode()))) == {"access"}
+    assert kinds(coded(gzip.compress(f"password {' ' * 9000}={' ' * 9000}hunter22".encode()))) == {"assign"}
+    inner = coded(gzip.compress(rng.randbytes(9000) + f" {KEY} ".encode() + rng.randbytes(9000)))
+    assert kinds(coded(gzip.compress(f"x {inner} y".encode()))) == {"access"}
+    assert kinds(coded(gzip.compress(f"x {inner} token: abcdef1 y".encode()))) == {"access", "assign"}
+
+
+def test_wrapped_joined_and_damaged_layers():
+    for width in (64, 76):
+        for shift in range(0, 60, 7):
+            assert kinds(wrap(coded("w " * (20 + shift) + KEY + " v" * 60), width)) == {"access"}
+        packed = gzip.compress(random.Random(1).randbytes(300) + f" {KEY} ".encode())
+        assert kinds("x\n" + wrap(coded(packed), width) + "\n") == {"access"}
+    for pack in (gzip, bz2, lzma):
+        two = pack.compress(b"first member of two") + pack.compress(f"key {KEY} end".encode())
+        assert kinds(coded(two)) == {"access"}
+    assert kinds(coded(f"some words {KEY} ".encode() + b"\xff and more")) == {"access"}
+    assert kinds("%FF" + urllib.parse.quote("é") + "".join(f"%{ord(c):02X}" for c in KEY)) == {"access"}
+    assert secrets.find("%FF%41KIA" + KEY[4:])[0][:3] == ("access", 3, 25)
+
+
 def test_scan_and_redact_keep_all_rows(spark, docs):
     frame = docs.selectExpr("*", "'x' as secrets").withColumn("text", docs.text)
     planted = spark.createDataFrame([(999, f"a {KEY} b token: abcdef1 c")], "doc_id long, text string")
