@@ -2,7 +2,8 @@
 
 A group of n rows is cut into about sqrt(n) / 2 ranges of a seeded hash.  Range totals
 come from partial aggregation; only ranges, or the rows of one range, ever meet
-in a task, so a group with a third of all rows is as cheap as any other.
+in a task, so a group with a third of all rows is as cheap as any other.  The
+hash has to differ between rows, also of one key (``dealing``).
 """
 
 from __future__ import annotations

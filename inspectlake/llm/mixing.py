@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inspectlake.llm.cutting import CUTS, divide
+from inspectlake.llm.dealing import dealt, salted
 from inspectlake.llm.flow import min_cost_flow
 from inspectlake.llm.staging import free, stage
 
@@ -62,16 +63,17 @@ def mix(
     Sources in code point order, null last, get ``weights`` in rotation.
     Documents without words are never taken.  Every input row comes back, also
     repeated ones; clashing column names are replaced.  An empty table gives an
-    empty mix.  ``docs`` is read several times, so pass a staged table.
+    empty mix.  ``docs`` is read once and written with its order.
     """
     own = [c for c in docs.columns if c != "mix_sources"]
-    pattern, words, order = free("pattern", "words", "order", among=own)
-    keyed = docs.select(
+    pattern, words, order, salt = free("pattern", "words", "order", "salt", among=own)
+    keyed = salted(docs.select(own), key, salt).select(
         *own,
         F.expr(f"to_json(array_sort(array_distinct(coalesce(`{member}`, array()))))").alias(pattern),
         F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias(words),
-        F.xxhash64(F.lit(seed), F.col(key)).alias(order),
+        dealt(seed, salt, key).alias(order),
     )
+    keyed = stage(keyed, "order")
     totals = keyed.groupBy(pattern).agg(
         F.sum(words).alias("n"), F.expr(f"first(array_sort(array_distinct(coalesce(`{member}`, array()))))").alias("of")
     )

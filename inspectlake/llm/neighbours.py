@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inspectlake.llm.dealing import dealt, salted
 from inspectlake.llm.staging import stage
 
 #: Vectors the rotations and the radius are fitted on (expected number).
@@ -136,11 +137,11 @@ def search(vectors: DataFrame, key: str, vector: str, queries: str, *, k: int =
     key that occurs repeatedly is so many candidates, but one query (its
     smallest vector).  An empty table gives no rows.
     """
-    held = stage(usable(vectors, key, vector), "vectors")
+    held = stage(salted(usable(vectors, key, vector), "vec_id", "salt"), "vectors")
     count, longest = held.agg(
         F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     ).first()
-    spread = F.xxhash64(F.lit(seed), "vec_id") / F.lit(2.0**64) + F.lit(0.5)
+    spread = dealt(seed, "salt", "vec_id") / F.lit(2.0**64) + F.lit(0.5)
     sample = held.filter(spread < SAMPLE / max(1, count)).select("v").toPandas()["v"]
     matrix = np.stack(sample.to_numpy()) if len(sample) else np.zeros((1, 1))
     codes, radius = learn(matrix, longest or 1.0, seed, k)
@@ -149,7 +150,7 @@ def search(vectors: DataFrame, key: str, vector: str, queries: str, *, k: int =
     asked = held.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-count // VECTOR_BLOCK))
     turns = max(1, -(-asked.count() // QUERY_BLOCK))
-    own = F.expr(f"pmod(xxhash64({seed}, vec_id), {blocks})")
+    own = F.pmod(dealt(seed, "salt", "vec_id"), F.lit(blocks))
     turn = F.expr(f"pmod(xxhash64({seed + 1}, vec_id), {turns})")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     meet = held.select(own.alias("block"), every(turns).alias("turn"), F.lit(False).alias("asks"), "vec_id", "v").union(

@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into bins of equal capacity.
 
 Documents longer than a bin are cut into full pieces and a rest.  Pieces are
-dealt by a seeded hash into groups of bounded expected size; a group is packed
+dealt by a seeded hash into groups of bounded expected size, repeated documents
+and those without a key apart from each other; a group is packed
 in one task, pieces in falling order of length.  Bins are kept by residual
 room; each carries a bitmap of its sources and one of its duplicate clusters.
 From the tightest residual that holds the piece, the successor search goes on
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inspectlake.llm.dealing import dealt, salted
 from inspectlake.llm.staging import stage
 
 #: Pieces expected in a group.
@@ -85,10 +87,10 @@ def pack(
         F.col(source).cast("string").alias("source"),
         F.col(cluster).cast("string").alias("cluster"),
     )
-    pieces = kept.withColumn(
+    pieces = salted(kept, "doc_id", "salt").withColumn(
         "piece", F.explode(F.expr(f"sequence(0, cast(greatest(0, (size - 1) div {capacity}) as int))"))
     ).selectExpr(
-        "doc_id", "source", "cluster", "piece", f"cast(piece as long) * {capacity} as start",
+        "doc_id", "source", "cluster", "salt", "piece", f"cast(piece as long) * {capacity} as start",
         f"least(size - cast(piece as long) * {capacity}, {capacity}) as length",
     )
     pieces = stage(pieces, "pieces")
@@ -111,5 +113,5 @@ def pack(
         ]
         return pa.Table.from_pylist(out, schema=ARROW)
 
-    part = F.expr(f"pmod(xxhash64({seed}, doc_id, piece), {groups})").alias("part")
-    return pieces.select("*", part).groupBy("part").applyInArrow(one_group, PACKED)
+    part = F.pmod(dealt(seed, "salt", "doc_id", "piece"), F.lit(groups)).alias("part")
+    return pieces.select("*", part).drop("salt").groupBy("part").applyInArrow(one_group, PACKED)

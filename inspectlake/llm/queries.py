@@ -48,7 +48,7 @@ def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(raw).alias("text_crc32"),
         F.expr("cast(crc32(cast(coalesce(source, '') as binary)) % 8 as int)").alias("old_shard"),
     )
-    placed = resharding.reshard(stage(docs, "reshard"), "old_shard", "size", 8)
+    placed = resharding.reshard(docs, "old_shard", "size", 8)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inspectlake.llm.cutting import CUTS, divide, number
+from inspectlake.llm.dealing import dealt, salted
 from inspectlake.llm.flow import min_cost_flow
-from inspectlake.llm.staging import free
+from inspectlake.llm.staging import free, stage
 
 PLAN = f"group int, size long, cuts {CUTS}"
 
@@ -47,16 +48,17 @@ def reshard(
     default), up to a small row at each border of a block.
     Every row comes back, repeated ones too, with all columns; clashing ``shard`` and
     ``slot`` columns are replaced.  An empty table gives an empty result.
-    ``docs`` is read several times, so pass a staged table.
+    ``docs`` is read once and written with its order.
     """
     own = [c for c in docs.columns if c not in ("shard", "slot")]
-    home, weight, order, into = free("home", "weight", "order", "into", among=own)
-    keyed = docs.select(
+    home, weight, order, into, salt = free("home", "weight", "order", "into", "salt", among=own)
+    keyed = salted(docs.select(own), key, salt).select(
         *own,
         F.coalesce(F.col(old).cast("int"), F.lit(0)).alias(home),
         F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(weight),
-        F.xxhash64(F.lit(seed), F.col(key)).alias(order),
+        dealt(seed, salt, key).alias(order),
     )
+    keyed = stage(keyed, "reshard")
     sizes = {r[0]: r[1] for r in keyed.groupBy(home).agg(F.sum(weight)).collect()}
     room = list(capacities or even(sum(sizes.values()), shards))
     moved = transfers(sizes, room)

@@ -110,6 +110,52 @@ def test_number_and_divide_of_a_hot_group(spark):
         assert sorted(r.slot for r in slots if r.g == g) == list(range(sum(r.g == g for r in slots)))
 
 
+@pytest.fixture(scope="module")
+def hot(spark):
+    """A third of the rows without doc_id, a third with one and the same."""
+    key = "case id % 3 when 0 then null when 1 then 5 else 10 + id end"
+    return stage(spark.range(3000).selectExpr(f"{key} as doc_id", "'s' as source", "array('s') as member", "id % 7 + 1 as size", "0 as old"), "hot")
+
+
+def largest_range(monkeypatch):
+    seen, ranges = [], cutting._ranges
+
+    def spy(df, group, order, weight, part, *names):
+        split, sums = ranges(df, group, order, weight, part, *names)
+        seen.append(max(r["count"] for r in split.groupBy(group, part).count().collect()))
+        return split, sums
+
+    monkeypatch.setattr(cutting, "_ranges", spy)
+    return seen
+
+
+def test_equal_keys_do_not_meet_in_a_range(hot, monkeypatch):
+    seen = largest_range(monkeypatch)
+    placed = resharding.reshard(hot, "old", "size", 3).collect()
+    mixed, _ = mixing.mix(hot, "member", "size")
+    assert len(placed) == mixed.count() == 3000 and len({(r.shard, r.slot) for r in placed}) == 3000
+    assert len(seen) == 3 and max(seen) < 300
+
+
+def test_equal_keys_do_not_meet_in_a_group(hot, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    packed = packing.pack(hot.withColumn("cluster", hot.source), "size", "source", "cluster").collect()
+    assert len(packed) == 3000 and max(Counter(r.bin >> 32 for r in packed).values()) < 300
+
+
+def test_equal_keys_are_sampled_and_dealt_like_others(spark, monkeypatch):
+    samples, learn = [], neighbours.learn
+    monkeypatch.setattr(neighbours, "SAMPLE", 100)
+    monkeypatch.setattr(neighbours, "learn", lambda sample, *rest: samples.append(len(sample)) or learn(sample, *rest))
+    frame = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, 7, id) as vec_id", "array(float(sin(id)), float(cos(id)), float(sin(id * 3)), 1f) as embedding"
+    )
+    for hot in (7, 8, 9):
+        out = neighbours.search(frame.selectExpr(f"if(vec_id = 7, {hot}, vec_id) as vec_id", "embedding"), "vec_id", "embedding", "vec_id % 500 = 1", k=5).collect()
+        assert len(out) == 20
+    assert all(50 < n < 200 for n in samples)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_resharding_moves_the_fewest_bytes(spark, docs, empty, tmp_path):
     frame = docs.selectExpr("*", "cast(if(doc_id % 5 < 4, 0, doc_id % 3) as int) as old", "octet_length(coalesce(text, '')) + 1 as bytes")
