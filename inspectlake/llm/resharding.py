@@ -80,17 +80,27 @@ def reshard(
 def rewrite(placed: DataFrame, old: str, path: str) -> list[int]:
     """Write anew, under ``path/shard=N``, the shards that gained or lost rows; others keep their files.
 
-    The number of shards bounds what the driver sees.
+    Shards that lost all their rows are removed after the others are written.
+    ``placed`` must not read from ``path``.  The number of shards bounds what
+    the driver sees.
     """
     changed = placed.filter(~F.col(old).eqNullSafe(F.col("shard"))).select(
         F.explode(F.array(F.col("shard"), F.col(old).cast("int"))).alias("shard")
     )
     touched = sorted(r[0] for r in changed.distinct().collect() if r[0] is not None)
+    anew = placed.filter(F.col("shard").isin(touched))
+    left = {r[0] for r in anew.select("shard").distinct().collect()}
     (
-        placed.filter(F.col("shard").isin(touched))
-        .write.mode("overwrite")
+        anew.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("shard")
         .parquet(path)
     )
+    # An overwrite by partition leaves alone what has no rows.
+    spark = placed.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for shard in touched:
+        if shard not in left:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"shard={shard}"), True)
     return touched

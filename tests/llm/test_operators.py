@@ -176,6 +176,16 @@ def test_resharding_moves_the_fewest_bytes(spark, docs, empty, tmp_path):
         assert {p.name for p in (tmp_path / "shards").glob("shard=*")} <= {f"shard={i}" for i in touched}
 
 
+def test_rewrite_to_fewer_shards_leaves_each_row_once(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = stage(spark.range(200).selectExpr("id as doc_id", "10 as bytes", "cast(id % 4 as int) as old"), "few")
+    rows.withColumn("shard", rows.old).write.partitionBy("shard").parquet(path)
+    placed = stage(resharding.reshard(rows, "old", "bytes", 2), "fewer")
+    assert resharding.rewrite(placed, "old", path) == [0, 1, 2, 3]
+    assert {p.name for p in (tmp_path / "shards").glob("shard=*")} == {"shard=0", "shard=1"}
+    assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == list(range(200))
+
+
 def test_transfers_keep_what_can_stay():
     moved = resharding.transfers({0: 10, 1: 2}, [4, 4, 4])
     assert sum(n for (i, j), n in moved.items() if i != j) == 6 and moved[0, 0] == 4 and moved[1, 1] == 2
