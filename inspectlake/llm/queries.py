@@ -1,14 +1,34 @@
-"""The ten operators over their whole tables, as registered queries."""
+"""The dealt operators over their whole tables, as registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 import corpus_pipeline
-from inspectlake.llm import extraction, languages, mixing, neardup, neighbours, oracles, packing, quality, repeats, resharding, secrets
+from inspectlake.llm import (
+    contextmix,
+    conversations,
+    extraction,
+    languages,
+    mixing,
+    neardup,
+    negatives,
+    neighbours,
+    oracles,
+    packing,
+    quality,
+    repeats,
+    resharding,
+    secrets,
+)
 from inspectlake.llm.staging import stage, table
 from inspectlake.llm.words import count_words
 
@@ -100,8 +120,76 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "vec_id % 20 = 0")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows of ``conversations`` damaged by a hash of their names; ``gone`` marks dropped ones."""
+    named = "concat(coalesce(cast(conv_id as string), ' '), ':', coalesce(cast(turn as string), ' '))"
+    rows = turns.select("conv_id", "turn", "role", "text", F.expr(f"crc32(cast({named} as binary)) % 20").alias("damage"))
+    return rows.select(
+        "conv_id", "turn",
+        F.expr("if(damage = 4, 'user', coalesce(role, ' '))").alias("role"),
+        F.expr("case damage when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '') else coalesce(text, ' ') end").alias("text"),
+        F.expr("damage = 0").alias("gone"),
+        F.explode(F.expr("array_repeat(0, if(damage = 3, 2, 1))")).alias("copy"),
+    ).drop("copy")
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """conv_id, sha: SHA-256 of the newline-joined ``role:text`` of each conversation, streamed in the order of ``rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, now, out = None, None, []
+        for batch in batches:
+            for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if digest is None or conv != now:
+                    if digest is not None:
+                        out.append((now, digest.hexdigest()))
+                    digest, now = hashlib.sha256(), conv
+                else:
+                    digest.update(b"\n")
+                digest.update(f"{role}:{text}".encode())
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], kind), pa.array([s for _, s in out], pa.string())], names=["conv", "sha"])
+            out.clear()
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([digest.hexdigest()], pa.string())], names=["conv", "sha"])
+
+    kind = to_arrow_type(rows.schema["conv_id"].dataType)
+    return rows.select("conv_id", "role", "text").mapInArrow(run, StructType([StructField("conv", rows.schema["conv_id"].dataType)]).add("sha", "string"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, what is wrong with them and their cheapest repair."""
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    found = stage(conversations.report(rows, "gone"), "report")
+    sums = digests(conversations.repaired(rows, found.select("conv_id", "audit"), "gone"))
+    return found.join(sums, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh vector are moved on; components are integers of 1/256."""
+    finite = "forall(embedding, x -> x is not null and abs(double(x)) < double('infinity'))"
+    items = table(spark, sf_dir, "embeddings").filter(f"label is not null and embedding is not null and {finite}")
+    items = items.selectExpr(
+        "vec_id", "if(vec_id % 7 = 0, (label + 1) % 10, label) as label", "transform(embedding, x -> floor(256D * double(x))) as v"
+    )
+    return negatives.mine(items, "vec_id % 100 = 0")
+
+
+UNSEEN = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7 = 2, true)"
+
+
+def op13_context_mix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text under the context mix and under single words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(UNSEEN).alias("held_out"), "text")
+    return contextmix.score(docs, "not held_out", ["doc_id", "held_out"]).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (F.col("bits") * -math.log10(2)).alias("score"), "bits_per_byte"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_mix_sources, op2_quality_rules, op3_language_id, op4_reshard, op5_near_duplicates, op6_best_fit_packing, op7_repeated_strings, op8_html_extraction, op9_secret_scan, op10_nearest_neighbours)
+    made = (op1_mix_sources, op2_quality_rules, op3_language_id, op4_reshard, op5_near_duplicates, op6_best_fit_packing, op7_repeated_strings, op8_html_extraction, op9_secret_scan, op10_nearest_neighbours, op11_conversation_repair, op12_hard_negatives, op13_context_mix_scores)
     return {query.__name__: query for query in made} | {"pipeline": corpus_pipeline.run}
 
 
