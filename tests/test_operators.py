@@ -39,7 +39,7 @@ def test_history_is_a_top_k(frame):
 def test_rank_matches_its_definition(frame, scores):
     random.Random(1).shuffle(scores)
     df = frame([(i, s) for i, s in enumerate(scores)], "i int, s double")
-    got = {r.i: r.poradi for r in ranking.with_rank(df, "s", buckets=4).collect()}
+    got = {r.i: r.poradi for r in ranking.with_rank(df, "s", most=3).collect()}
     assert got == {i: 1 + sum(other > s for other in scores) for i, s in enumerate(scores)}
 
 
@@ -49,12 +49,13 @@ def test_rows_without_a_score_rank_last(frame):
 
 
 @pytest.mark.parametrize("discrete", [False, True])
-def test_quantiles_of_a_hot_group(frame, discrete):
+@pytest.mark.parametrize("most", [2_000_000, 40])
+def test_quantiles_of_a_hot_group(frame, discrete, most):
     rng = random.Random(5)
     rows = [("hot" if i % 3 else "cold", None if i % 50 == 0 else rng.choice([rng.random(), 0.5])) for i in range(3000)]
     rows += [(None, 1.0), ("none", None)]
     shares = (0.0, 0.25, 0.5, 0.9, 1.0)
-    got = ranking.quantiles(frame(rows, "g string, v double"), ["g"], F.col("v"), shares, "q", discrete, buckets=16)
+    got = ranking.quantiles(frame(rows, "g string, v double"), ["g"], F.col("v"), shares, "q", discrete, most=most)
     out = {r.g: list(r.q) for r in got.collect()}
     assert set(out) == {"hot", "cold", None}
     for g, found in out.items():
@@ -68,6 +69,26 @@ def test_quantiles_of_a_hot_group(frame, discrete):
             assert q == pytest.approx(want)
 
 
+def test_groups_on_different_scales_send_few_values(frame, monkeypatch):
+    monkeypatch.setattr(ranking, "SKETCH", 200)
+    rng = random.Random(6)
+    rows = [("large", rng.uniform(1e6, 2e6)) for _ in range(20_000)] + [(None, rng.random()) for _ in range(200)] + [("nan", math.nan)]
+    df = frame(rows, "g string, v double")
+    out = {r.g: r.q[0] for r in ranking.quantiles(df, ["g"], F.col("v"), (0.5,), "q", True).collect()}
+    median = lambda g: sorted(v for k, v in rows if k == g)[sum(k == g for k, _ in rows) // 2 - 1]
+    assert out == {"large": median("large"), None: median(None)}
+
+
+def test_null_groups_are_groups(frame):
+    df = frame([(None, 1.0), (None, 1.0), (None, None), ("a", 9.0), ("a", 9.0), ("a", 9.0), ("b", None)], "g string, v double")
+    assert sorted((r.g or "", r.v) for r in analysis.fill_median(df, ["g"], "v").collect()) == [("", 1.0)] * 3 + [("a", 9.0)] * 3 + [("b", 9.0)]
+    filled = analysis.fill_mode(frame([(None, "x"), (None, None), ("a", "y"), ("a", "y"), ("a", "y")], "g string, v string"), ["g"], "v")
+    assert sorted(r.v for r in filled.where("g is null").collect()) == ["x", "x"]
+    rows = [(None, float(v)) for v in (1, 2, 3, 4, 5, 100)] + [("a", float(v)) for v in range(90, 110)]
+    flagged = analysis.with_outlier_flags(frame(rows, "g string, v double"), ["g"], "v")
+    assert [tuple(r) for r in flagged.where("mimo_meze").select("g", "v").collect()] == [(None, 100.0)]
+
+
 def test_a_day_that_lost_its_rows_leaves_the_report(spark, frame, tmp_path):
     schema = "CisloProtokolu string, Prohlidka_Stanice_Kraj string, Vysledek_Celkovy string, den date, soubor string"
     days = [date(2020, 1, 1), date(2020, 1, 2)]
