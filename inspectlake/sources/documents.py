@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from inspectlake.functions.dates import day_from_title, decoded_path, required
 from inspectlake.plans.dataset import Dataset
 from inspectlake.plans.layout import CORRUPT
-from inspectlake.sources.files import document_name, file_version, list_files, literal_path
+from inspectlake.sources.files import document_name, file_version, list_files
 
 DOCUMENT_GLOB = "*.{xml,gz}"
 
@@ -24,11 +24,11 @@ DOCUMENT_GLOB = "*.{xml,gz}"
 ENVELOPE = "DatovyObsah"
 ANY_ELEMENT = "xs_any"
 
-_PREFIX = r"([\w.-]+:)?"
+_PREFIX = r"(?:[\w.-]+:)?"
 
 
-def _reader(spark: SparkSession, row_tag: str, glob: str, tolerant: bool = False):
-    reader = (
+def _reader(spark: SparkSession, row_tag: str, glob: str):
+    return (
         spark.read.format("xml")
         .option("rowTag", row_tag)
         .option("ignoreNamespace", True)
@@ -37,7 +37,6 @@ def _reader(spark: SparkSession, row_tag: str, glob: str, tolerant: bool = False
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("pathGlobFilter", glob)
     )
-    return reader.option("ignoreCorruptFiles", True) if tolerant else reader
 
 
 def _load(reader, path: str | Sequence[str]) -> DataFrame:
@@ -66,16 +65,9 @@ def scan(
     dataset: Dataset,
     path: str | Sequence[str],
     glob: str = DOCUMENT_GLOB,
-    tolerant: bool = False,
-    versioned: bool = False,
 ) -> DataFrame:
-    """Records of a series as the XML source sees them.
-
-    ``tolerant`` keeps going where a compressed stream is damaged; whoever
-    uses it must check the documents with ``check_documents``.
-    """
-    scanned = _load(_reader(spark, dataset.row_tag, glob, tolerant).schema(dataset.schema), path)
-    return with_document(scanned, versioned=versioned)
+    """Records of a series as the XML source sees them."""
+    return with_document(_load(_reader(spark, dataset.row_tag, glob).schema(dataset.schema), path))
 
 
 def records(spark: SparkSession, dataset: Dataset, path: str | Sequence[str], glob: str = DOCUMENT_GLOB) -> DataFrame:
@@ -92,59 +84,83 @@ def sound(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.col(CORRUPT).isNull() | F.raise_error(message).isNotNull())
 
 
-# --- document check ------------------------------------------------------------------
+# --- one pass over the text ------------------------------------------------------------
 
 
-def _tags(spark: SparkSession, path, glob: str) -> DataFrame:
-    """The documents' text cut at every ``>``, so that a row is at most one tag
-    and the text before it, however long the lines are."""
-    reader = (
-        spark.read.format("text")
-        .option("lineSep", ">")
-        .option("pathGlobFilter", glob)
-        .option("ignoreCorruptFiles", True)
-    )
-    return _load(reader, path).select("value", F.col("_metadata.file_path").alias("_file"))
-
-
-def _tag_counts(tags: DataFrame, row_tag: str) -> DataFrame:
-    value = F.col("value")
-    opening = value.rlike(rf"<{_PREFIX}{ENVELOPE}(\s[\s\S]*|/)?$")
-    closing = value.rlike(rf"(</{_PREFIX}{ENVELOPE}\s*|<{_PREFIX}{ENVELOPE}(\s[\s\S]*)?/)$")
-    record = value.rlike(rf"<{_PREFIX}{row_tag}(\s[\s\S]*|/)?$")
-    # The plain search leaves a small part of the tags to the expressions.
-    named = tags.where(value.contains(ENVELOPE) | value.contains(row_tag))
-    counts = named.groupBy("_file").agg(
-        F.count_if(opening).alias("opened"),
-        F.count_if(closing).alias("closed"),
-        F.count_if(record).alias("tagged"),
-    )
-    return counts.withColumn("cesta", decoded_path(F.col("_file")))
+def scan_pieces(
+    spark: SparkSession,
+    dataset: Dataset,
+    path: str | Sequence[str],
+    glob: str = DOCUMENT_GLOB,
+    versioned: bool = False,
+    schema: T.StructType | None = None,
+) -> DataFrame:
+    """Records and what a check needs to know of the text around them, in one pass.
 
+    The text is cut at the record's end tag, so a row holds one record and what
+    precedes it; what follows the last record is a row of its own.  A document
+    whose tags have a prefix is one row, all its records are found in it.
 
-def _with_content(spark: SparkSession, path, glob: str) -> DataFrame:
-    """Documents whose envelope holds at least one element."""
-    schema = T.StructType([T.StructField(ANY_ELEMENT, T.ArrayType(T.StringType())), T.StructField(CORRUPT, T.StringType())])
-    envelopes = _load(_reader(spark, ENVELOPE, glob, tolerant=True).schema(schema), path)
-    return (
-        envelopes.where(F.col(ANY_ELEMENT).isNotNull())
-        .select(decoded_path(F.col("_metadata.file_path")).alias("cesta"))
-        .distinct()
+    Columns: those of the series, the document's, ``_poradi`` (number of the
+    record in its piece, null where a piece has none) and ``_znacky`` (envelope
+    tags opened and closed, record tags, whether the envelope holds an element,
+    names around the records that are left open; once per piece).  Damaged
+    compression ends a document early.
+    """
+    tag, schema = dataset.row_tag, schema or dataset.schema
+    reader = spark.read.format("text").option("lineSep", f"</{tag}>").option("pathGlobFilter", glob)
+    pieces = with_document(_load(reader.option("ignoreCorruptFiles", True), path), strict=False, versioned=versioned)
+    value, envelope = F.col("value"), F.col("value").contains(ENVELOPE)
+    opening = rf"<{_PREFIX}{ENVELOPE}(?=[\s/>])"
+    closing = rf"</{_PREFIX}{ENVELOPE}\s*>|<{_PREFIX}{ENVELOPE}(?:\s[^>]*)?/>"
+    content = rf"<{_PREFIX}{ENVELOPE}(?:\s[^>]*[^>/])?>(?:[^<]|<!--[\s\S]*?-->)*<[\w]"
+    whole = rf"(?s)<({_PREFIX}){tag}(?=[\s/>])(?:[^>]*/>|.*?</\1{tag}\s*>)"
+    ended = F.concat(value, F.lit(f"</{tag}>"))
+    # A piece with one plain record tag needs no expressions.
+    at = F.instr(value, f"<{tag}>")
+    times = lambda text: (F.length(value) - F.length(F.replace(value, F.lit(text), F.lit("")))) / len(text)
+    simple = (at > 0) & (times(f"<{tag}") + times(f":{tag}") == 1)
+    found = F.when(simple, F.array(F.substring(ended, at, F.length(ended)))).otherwise(
+        F.regexp_extract_all(ended, F.lit(whole), F.lit(0))
+    )
+    # Tags around the records: names that open and close as often leave 0.
+    left = F.regexp_replace(F.regexp_replace(ended, whole, ""), rf"</{tag}>$", "")
+    around = F.when(simple, F.substring(value, F.lit(1), at - 1)).when(F.size(found) > 0, left).otherwise(value)
+    around = F.when(around.contains("<!"), F.regexp_replace(around, r"<!--[\s\S]*?-->", "")).otherwise(around)
+    opens = F.regexp_extract_all(around, F.lit(r"<(\w[^\s/>]*)(?:\s(?:[^>]*[^>/])?)?>"), F.lit(1))
+    closes = F.regexp_extract_all(around, F.lit(r"</([^\s>]+)\s*>"), F.lit(1))
+    total = lambda names: F.aggregate(names, F.lit(0).cast("long"), lambda n, name: n + F.crc32(name.cast("binary")))
+    marks = F.struct(
+        (envelope & value.rlike(opening)).alias("opened"),
+        (envelope & value.rlike(closing)).alias("closed"),
+        (envelope & value.rlike(content)).alias("filled"),
+        F.when(simple, 1).otherwise(F.regexp_count(value, F.lit(rf"<{_PREFIX}{tag}(?=[\s/>])"))).alias("tagged"),
+        F.when(around.contains("<"), total(opens) - total(closes)).otherwise(F.lit(0).cast("long")).alias("balance"),
+    )
+    rows = pieces.withColumn("_znacky", marks).select(
+        *[name for name in pieces.columns if name != "value"], "_znacky", F.posexplode_outer(found).alias("_poradi", "_text")
     )
+    options = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": CORRUPT}
+    record = F.from_xml("_text", F.lit(schema.json()), options)
+    documents = [name for name in pieces.columns if name != "value"]
+    once = F.when(F.coalesce("_poradi", F.lit(0)) == 0, F.col("_znacky")).alias("_znacky")
+    return rows.select(record.alias("_zaznam"), *documents, "_poradi", once).select("_zaznam.*", *documents, "_poradi", "_znacky")
 
 
-def record_counts(scanned: DataFrame) -> DataFrame:
-    """Sound records, records with a first field and damaged places per file.
+# --- document check ------------------------------------------------------------------
 
-    The source refuses to read its damage column alone, so the count of first
-    fields is taken along and part of what decides on damage: a damaged place
-    is reported whether or not fields before it were read.
-    """
-    first = F.col(f"`{scanned.columns[0]}`")
-    damaged = F.col(CORRUPT).isNotNull()
-    return scanned.groupBy("cesta").agg(
-        (F.count_if(damaged & first.isNull()) + F.count_if(damaged & first.isNotNull())).alias("damages"),
-        (F.count_if(~damaged & first.isNull()) + F.count_if(~damaged & first.isNotNull())).alias("records"),
+
+def text_counts(pieces: DataFrame) -> DataFrame:
+    """Per file: sound and damaged records, and the tags of its text."""
+    damaged, record = F.col(CORRUPT).isNotNull(), F.col("_poradi").isNotNull()
+    return pieces.groupBy("cesta").agg(
+        F.count_if(record & damaged).alias("damages"),
+        F.count_if(record & ~damaged).alias("records"),
+        F.count_if("_znacky.opened").alias("opened"),
+        F.count_if("_znacky.closed").alias("closed"),
+        F.count_if("_znacky.filled").alias("filled"),
+        F.sum("_znacky.tagged").alias("tagged"),
+        F.sum("_znacky.balance").alias("balance"),
     )
 
 
@@ -160,48 +176,24 @@ def check_documents(
     ``ok``: the envelope is complete and every record tag in the text became a
     record.  ``no_envelope``: the envelope is missing or holds no element.
     ``damaged``: not well-formed, cut short, or fewer records read than tagged.
-    The text pass reads each file once; only files without records are looked
-    at a second time, for an element inside the envelope.
+    Each file is read once; ``counts`` of pieces read already spare that too.
     """
-    listing = list_files(spark, path, glob)
-    files = listing.select(
-        _same_form("path").alias("cesta"), "soubor", "den", "length", F.col("path").alias("_listed")
-    )
+    files = list_files(spark, path, glob).select(_same_form("path").alias("cesta"), "soubor", "den", "length")
     if counts is None:
-        counts = record_counts(scan(spark, dataset, path, glob, tolerant=True))
-    counts = counts.select(_same_form("cesta").alias("cesta"), "records", "damages")
-    texts = _tag_counts(_tags(spark, path, glob), dataset.row_tag)
-    texts = texts.select(_same_form("cesta").alias("cesta"), "opened", "closed", "tagged")
-    filled = _filled_envelopes(spark, files.join(counts.where("records > 0"), "cesta", "left_anti"), glob)
-    joined = (
-        files.join(texts, "cesta", "left")
-        .join(counts, "cesta", "left")
-        .join(filled.withColumn("filled", F.lit(True)), "cesta", "left")
-        .na.fill(0, ["opened", "closed", "tagged", "records", "damages"])
-        .na.fill(False, ["filled"])
-    )
+        first = T.StructType([dataset.schema[0], dataset.schema[CORRUPT]])
+        counts = text_counts(scan_pieces(spark, dataset, path, glob, schema=first))
+    numbers = ["opened", "closed", "filled", "tagged", "balance", "records", "damages"]
+    joined = files.join(counts.withColumn("cesta", _same_form("cesta")), "cesta", "left").na.fill(0, numbers)
     status = (
-        F.when((F.col("damages") > 0) | (F.col("records") != F.col("tagged")), "damaged")
+        F.when((F.col("damages") > 0) | (F.col("records") != F.col("tagged")) | (F.col("balance") != 0), "damaged")
         .when((F.col("opened") > 0) & (F.col("closed") == 0), "damaged")
         .when(F.col("opened") == 0, "no_envelope")
-        .when((F.col("records") == 0) & ~F.col("filled"), "no_envelope")
+        .when((F.col("records") == 0) & (F.col("filled") == 0), "no_envelope")
         .otherwise("ok")
     )
     return joined.select("cesta", "soubor", "den", "length", "records", status.alias("status"))
 
 
-def _filled_envelopes(spark: SparkSession, suspects: DataFrame, glob: str) -> DataFrame:
-    """Of the files without records, those with an element in the envelope.
-
-    The paths (names only, a handful on a healthy feed) go through the driver
-    because a scan is planned from paths.
-    """
-    paths = [literal_path(row[0]) for row in suspects.select("_listed").toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], "cesta string")
-    return _with_content(spark, paths, glob).select(_same_form("cesta").alias("cesta")).distinct()
-
-
 def _same_form(column: str):
     """Sources differ in the slashes after the scheme; compare without them."""
     return F.regexp_replace(column, "^([a-z0-9]+):/+", "$1:/")
