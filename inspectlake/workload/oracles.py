@@ -288,6 +288,24 @@ def measurement_long() -> str:
     return f"{spark} UNION ALL {diesel}"
 
 
+def run_signature() -> str:
+    """Runs (averages left out) by their values rounded to whole numbers."""
+    keys = f"""{K} AS k, {PROTOCOL} AS "CisloProtokolu", 'VIN' || {C} AS "Vozidlo_Vin", CAST(v AS INT) AS vyusteni"""
+    each = f"velicina || '=' || round(CAST({_value('v', 'r', 'q')} AS DECIMAL(18, 6)))"
+    spark = f"""SELECT {keys}, CASE {K} % 3 WHEN 0 THEN 'Benzin' ELSE 'Plyn' END AS palivo, rezim, CAST(NULL AS INT) AS beh, {each} AS x
+        FROM orders, range(0, 5) AS a(v), {_named(m.REGIMES)} AS b(rezim, r), {_named(m.REGIME_QUANTITIES)} AS c(velicina, q)
+        WHERE {K} % 3 <> 1 AND v < {OUTLETS}"""
+    diesel = f"""SELECT {keys}, 'Nafta' AS palivo, 'Mereni' AS rezim, CAST(r - 1 AS INT) AS beh, {each} AS x
+        FROM orders, range(0, 5) AS a(v), range(1, 7) AS b(r), {_named(m.RUN_QUANTITIES)} AS c(velicina, q)
+        WHERE {K} % 3 = 1 AND v < {OUTLETS} AND r <= {RUNS}"""
+    return f"""WITH r AS (
+            SELECT "CisloProtokolu", "Vozidlo_Vin", palivo, vyusteni, rezim, beh, list(x ORDER BY x) AS podpis
+            FROM ({spark} UNION ALL {diesel}) GROUP BY k, "CisloProtokolu", "Vozidlo_Vin", palivo, vyusteni, rezim, beh),
+        g AS (SELECT podpis, count(*) AS radku, count(DISTINCT "Vozidlo_Vin") AS vozidel FROM r GROUP BY podpis)
+        SELECT "CisloProtokolu", "Vozidlo_Vin", palivo, vyusteni, rezim, beh, radku, vozidel
+        FROM r JOIN g USING (podpis) WHERE vozidel > 1"""
+
+
 def _cast_losses() -> str:
     """Results are the words true and false, which a number type loses; all
     other typed columns hold what their type allows."""
@@ -561,6 +579,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
         "child_join": f"""SELECT "Zdroj", "Zavaznost", s AS "Vysledek_Celkovy", count(*) AS pocet
             FROM ({_defects(", o_orderstatus AS s")}) GROUP BY 1, 2, 3""",
+        "run_signature": run_signature(),
         "dup_signature": """SELECT l_quantity, l_extendedprice, l_discount, l_tax, count(*) AS radku,
             count(DISTINCT l_orderkey) AS vozidel FROM lineitem GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT l_orderkey) > 1""",
         "dup_rows": """SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_partkey FROM lineitem

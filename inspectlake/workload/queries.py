@@ -417,8 +417,7 @@ def lenient_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cast_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What typing would lose in every typed column of the measurements."""
-    types = measurements.wide_types()
-    return casts.cast_losses(measurements.wide(measurement_table(spark, sf_dir)), types)
+    return measurements.wide_losses(measurement_table(spark, sf_dir))
 
 
 # --- catalogue, structure, relations ---------------------------------------------------
@@ -510,6 +509,13 @@ def dup_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.repeated_signatures(table(spark, sf_dir, "lineitem"), values, "l_orderkey")
 
 
+def run_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that agree in all values, to the whole number, with a run of another vehicle."""
+    runs = measurements.runs(measurement_table(spark, sf_dir))
+    found = analysis.repeated_runs(runs, "hodnoty", "Vozidlo_Vin", places=0)
+    return found.drop("hodnoty")
+
+
 def dup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = ["l_quantity", "l_discount", "l_tax", "l_partkey"]
     rows = analysis.rows_with_repeated_signature(table(spark, sf_dir, "lineitem"), values, "l_orderkey")
@@ -717,6 +723,7 @@ REGISTERED: tuple[Query, ...] = (
     childless_parents,
     child_join,
     dup_signature,
+    run_signature,
     dup_rows,
     station_rank,
     outliers,

@@ -196,10 +196,43 @@ def test_typing_counts_its_losses(read):
     assert losses[f"{where}_CO_Vysledek"] == (1, 1)
     assert losses[f"{where}_HC_Hodnota"] == (1, 1)
     assert losses["Plyn_Vyusteni0_OtackyVolnobezne_CO_Hodnota"] == (0, 0)
+    leaves = {r.column_name: (r.present, r.lost) for r in plan.wide_losses(records).collect()}
+    assert leaves == losses
     (typed,) = casts.lenient(plan.wide(records), types).select(f"{where}_CO_Hodnota", f"{where}_HC_Hodnota").collect()
     assert float(typed[0]) == 1.5 and typed[1] is None
 
 
+def test_losses_from_leaves_equal_those_of_the_wide_view(read):
+    run = "<TPS hodnota='a' vysledek='1'><min hodnota='2' rucniZadani='ano'/></TPS><teplota hodnota='3'/>"
+    outlet = f"<vyusteni><mereniPrumer>{run}</mereniPrumer>" + f"<mereni>{run}</mereni>" * 6 + "</vyusteni>"
+    limits = "<mereniVznetLimit><TPS><min hodnota='z' rucniZadani='true'/></TPS></mereniVznetLimit>"
+    records = read(device(f"<detailNafta>{limits}{outlet * 5}</detailNafta>"))
+    wide = {tuple(r) for r in casts.cast_losses(plan.wide(records), plan.wide_types()).collect()}
+    leaves = {tuple(r) for r in plan.wide_losses(records).collect()}
+    assert leaves == wide and ("Nafta_TPS_Min_Hodnota", casts.AMOUNT, 1, 1) not in leaves
+    assert ("Nafta_Tps_Min_Hodnota", casts.AMOUNT, 1, 1) in leaves
+    assert sum(r[2] for r in leaves) == 2 + 4 * 5 * 5 + sum(r[2] for r in leaves if r[0] in ("StaniceCislo", "OdpovednaOsoba"))
+
+
+def test_runs_keep_all_outlets_and_signatures_need_two_vehicles(read):
+    def vehicle(vin, *values):
+        runs = "".join(f"<mereni><TPS hodnota='{v}'/><teplota hodnota='7'/></mereni>" for v in values)
+        return (
+            f"<Mereni><PristrojData><vozidlo><VIN>{vin}</VIN></vozidlo><detailNafta>"
+            f"<vyusteni><mereniPrumer><TPS hodnota='1.26'/></mereniPrumer>{runs}</vyusteni></detailNafta></PristrojData></Mereni>"
+        )
+
+    records = read(vehicle("A", "1.26", "1.26", "2", "x") + vehicle("B", "1.26", "1.31", "y") + vehicle("B", "2.0"))
+    runs = plan.runs(records)
+    assert runs.count() == 8 and {len(r.hodnoty) for r in runs.collect()} == {2}
+    exact = analysis.repeated_runs(runs, "hodnoty", "Vozidlo_Vin").collect()
+    assert sorted((r.Vozidlo_Vin, r.beh, r.radku, r.vozidel) for r in exact) == [("A", 0, 3, 2), ("A", 1, 3, 2), ("B", 0, 3, 2)]
+    rounded = analysis.repeated_runs(runs, "hodnoty", "Vozidlo_Vin", places=1).collect()
+    assert sorted((r.Vozidlo_Vin, r.beh, r.radku, r.vozidel) for r in rounded) == [
+        ("A", 0, 4, 2), ("A", 1, 4, 2), ("A", 2, 2, 2), ("B", 0, 2, 2), ("B", 0, 4, 2), ("B", 1, 4, 2),
+    ]
+
+
 def test_pruning_reaches_the_leaf(spark, read, tmp_path):
     read(device(f"<detailBenzin><vyusteni><otackyVolnobezne>{measured('CO', 1)}</otackyVolnobezne></vyusteni></detailBenzin>")).drop(
         "den", "soubor"
