@@ -398,6 +398,8 @@ z AS (SELECT l_suppkey, pocet, oznaceno, round(oznaceno / pocet, 6) AS podil, ro
 SELECT *, rank() OVER (ORDER BY z DESC) AS poradi FROM z
 """
 
+HELD_OUT = "(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey)), 1, 8))::BIGINT % 5 = 0)"
+
 OUTLIERS = """
 WITH q AS (SELECT event_type, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.25) AS q1,
     quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
@@ -580,6 +582,20 @@ def oracle_sql() -> dict[str, str]:
         "child_join": f"""SELECT "Zdroj", "Zavaznost", s AS "Vysledek_Celkovy", count(*) AS pocet
             FROM ({_defects(", o_orderstatus AS s")}) GROUP BY 1, 2, 3""",
         "run_signature": run_signature(),
+        "outcome_split": f"""SELECT 2::BIGINT AS modelu, count(*) FILTER (WHERE NOT {HELD_OUT}) AS trenovacich,
+            count(*) FILTER (WHERE {HELD_OUT}) AS zkusebnich, true AS vybran_nejlepsi, true AS auc_platne,
+            5::BIGINT AS priznaku, 1.0::DOUBLE AS soucet_dulezitosti, true AS serazeno FROM lineitem""",
+        "feature_auc": f"""WITH t AS (SELECT * FROM lineitem WHERE {HELD_OUT}),
+            s AS (SELECT l_linestatus, l_returnflag = 'R' AS p, unnest(['l_quantity', 'l_extendedprice', 'l_discount',
+                'l_tax', 'l_linenumber']) AS priznak,
+                unnest([l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber::DOUBLE]) AS h FROM t),
+            r AS (SELECT *, rank() OVER g + (count(*) OVER (PARTITION BY priznak, l_linestatus, h) - 1) / 2.0 AS rank
+                FROM s WINDOW g AS (PARTITION BY priznak, l_linestatus ORDER BY h)),
+            c AS (SELECT priznak, l_linestatus, count(*) FILTER (WHERE p) AS kladnych, count(*) FILTER (WHERE NOT p) AS zapornych,
+                sum(rank) FILTER (WHERE p) AS ranks FROM r GROUP BY 1, 2)
+            SELECT priznak, l_linestatus, kladnych, zapornych,
+                CASE WHEN kladnych * zapornych > 0
+                THEN round((ranks - kladnych * (kladnych + 1) / 2.0) / (kladnych::DOUBLE * zapornych), 9) END AS auc FROM c""",
         "dup_signature": """SELECT l_quantity, l_extendedprice, l_discount, l_tax, count(*) AS radku,
             count(DISTINCT l_orderkey) AS vozidel FROM lineitem GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT l_orderkey) > 1""",
         "dup_rows": """SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_partkey FROM lineitem

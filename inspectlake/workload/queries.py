@@ -592,6 +592,35 @@ def outcome_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcome(spark, sf_dir).scores(spark)
 
 
+def outcome_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be said of the fitted models without fitting them again."""
+    fitted = _outcome(spark, sf_dir)
+    scores = fitted.scores(spark).agg(
+        F.count("*").alias("modelu"),
+        F.max("trenovacich").alias("trenovacich"),
+        F.max("zkusebnich").alias("zkusebnich"),
+        (F.max("auc") == F.max(F.when(F.col("vybran"), F.col("auc")))).alias("vybran_nejlepsi"),
+        F.min(F.col("auc").between(0.0, 1.0)).alias("auc_platne"),
+    )
+    shares = fitted.importances(spark).agg(
+        F.count("*").alias("priznaku"),
+        F.round(F.sum("dulezitost"), 6).alias("soucet_dulezitosti"),
+        F.expr("array_sort(collect_list(struct(poradi, dulezitost)))").alias("s"),
+    )
+    falling = F.expr("forall(sequence(1, size(s) - 1), i -> s[i - 1].dulezitost >= s[i].dulezitost)")
+    return scores.join(shares.select("priznaku", "soucet_dulezitosti", falling.alias("serazeno")), how="inner")
+
+
+def feature_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each feature alone ranks the held-out rows, by line status."""
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+    items = table(spark, sf_dir, "lineitem").where(model.held_out(["l_orderkey", "l_linenumber", "l_partkey"]))
+    values = items.select("l_linestatus", "l_returnflag", *[F.col(name).cast("double").alias(name) for name in features])
+    stacked = values.unpivot(["l_linestatus", "l_returnflag"], features, "priznak", "hodnota")
+    found = ranking.rank_auc(stacked, "hodnota", F.col("l_returnflag") == "R", ["priznak", "l_linestatus"])
+    return found.withColumn("auc", F.round("auc", 9))
+
+
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcome(spark, sf_dir).importances(spark)
 
@@ -731,6 +760,8 @@ REGISTERED: tuple[Query, ...] = (
     forecast,
     by_vehicle,
     outcome_model,
+    outcome_split,
+    feature_auc,
     feature_importance,
     defect_corr,
     profile,

@@ -196,6 +196,35 @@ def test_catalogue(frame):
         c.to_fetch(nameless, F.lit(date(2020, 1, 1))).collect()
 
 
+def test_auc_counts_pairs_and_halves_of_ties(frame):
+    rng = random.Random(8)
+    rows = [(g, rng.choice([1.0, 2.0, 2.5, None, rng.random()]), rng.choice([True, False, None])) for g in ("a", None) for _ in range(300)]
+    rows += [("one kind", 1.0, True)]
+    df = frame(rows, "g string, s double, p boolean")
+    for most in (2_000_000, 20):
+        got = {r.g: r for r in ranking.rank_auc(df, "s", F.col("p"), ["g"], most=most).collect()}
+        assert got["one kind"].auc is None
+        for g in ("a", None):
+            pos, neg = ([s for k, s, p in rows if k == g and s is not None and p is want] for want in (True, False))
+            wins = sum((a > b) + (a == b) / 2 for a in pos for b in neg)
+            assert (got[g].kladnych, got[g].zapornych) == (len(pos), len(neg)) and got[g].auc == pytest.approx(wins / len(pos) / len(neg))
+
+
+def test_permuted_columns_keep_their_values(frame):
+    rows = frame([(i, float(i), i * 2) for i in range(500)], "k int, v double, w int")
+    out = model.permuted(rows, "v", ["k"], 3).collect()
+    assert sorted(r.v for r in out) == [float(i) for i in range(500)] and all(r.w == 2 * r.k for r in out)
+    assert sum(r.v == r.k for r in out) < 20
+
+
+def test_importance_goes_to_the_feature_that_decides(spark, frame):
+    rng = random.Random(9)
+    rows = [(i, rng.random(), rng.random()) for i in range(600)]
+    fitted = model.fit_outcome(frame([(i, a, b, a > 0.5) for i, a, b in rows], "k int, a double, b double, y boolean"), ["a", "b"], "y", ["k"], 3)
+    first, second = fitted.importances(spark).collect()
+    assert first.priznak == "a" and first.dulezitost > 0.8 and first.dulezitost + second.dulezitost == pytest.approx(1)
+
+
 def test_model_uses_rows_with_missing_features(spark, frame):
     rows = [(i, None if i % 2 else float(i % 10), i % 10 > 4) for i in range(400)] + [(1000, 1.0, None)]
     outcome = model.fit_outcome(frame(rows, "k int, x double, bad boolean"), ["x"], "bad", ["k"], iterations=2)
