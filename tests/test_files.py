@@ -148,3 +148,21 @@ def test_stacked_csv(spark, tmp_path):
     listing = delimited.with_stem_ending(files.list_files(spark, str(tmp_path)), "V")
     rows = delimited.stack(spark, [r.path for r in listing.collect()]).select("SME", "VIN", "X").collect()
     assert sorted(tuple(r) for r in rows) == [("1", "a", None), ("2", "b", "9")]
+
+
+def test_files_of_any_number_are_stacked_by_a_fixed_number_of_jobs(spark, tmp_path):
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for count in (3, 12):
+        for n in range(count):
+            X.put(tmp_path / str(count), f"{n} [x]+.csv", ("a;b\n" if n % 2 else "b;a;a;\n") + f"{n};y;z;w\n")
+        spark.sparkContext.setJobGroup(f"stack{count}", "")
+        rows = delimited.stack(spark, [str(tmp_path / str(count))])
+        jobs.append(len(tracker.getJobIdsForGroup(f"stack{count}")))
+        found = [r.asDict() for r in rows.collect()]
+        assert len(found) == count and set(rows.columns) == {"a", "b", "a1", "a2", "_c3"}
+        assert sorted(r["a"] for r in found if r["a"]) == sorted(str(n) for n in range(count) if n % 2)
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
+    X.put(tmp_path / "empty", "e.csv", "")
+    assert delimited.stack(spark, [str(tmp_path / "empty")]).columns == []
