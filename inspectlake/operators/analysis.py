@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from inspectlake.operators.ranking import kept, matched, quantiles
 
 PLACEHOLDER = "-"
+#: Most frequent values of a profile, and the parts of a column they are sought in.
+TOP = 5
+PARTS = 256
 
 
 # --- suspicious values -----------------------------------------------------------------
@@ -241,16 +244,26 @@ def _plain(value: Column) -> Column:
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: rows, nulls, distinct values, smallest and largest value in
-    the column's own order, and the most frequent one (the smallest text of several).
+    the column's own order, and the five most frequent with their counts, as
+    ``value:count`` by falling count, then text.
 
     Values are counted per column first, so the second step sees each distinct
-    value once.
+    value once.  The most frequent are found in parts of a column's values, then
+    among those of the parts, so a column of unique values meets in no task.
     """
     texts = df.select(*[F.col(f"`{name}`").cast("string").alias(name) for name in columns])
     stacked = texts.unpivot([], list(columns), "sloupec", "hodnota")
     counted = stacked.groupBy("sloupec", "hodnota").agg(F.count("*").alias("_times"))
     present = F.col("hodnota").isNotNull()
-    top = F.min(F.when(present, F.struct((-F.col("_times")).alias("t"), F.col("hodnota").alias("v"))))
+    parts = counted.where(present).withColumn("_part", F.pmod(F.xxhash64("hodnota"), F.lit(PARTS)))
+    order = [F.desc("_times"), "hodnota"]
+    for where in (["sloupec", "_part"], ["sloupec"]):
+        place = F.row_number().over(Window.partitionBy(*where).orderBy(*order))
+        parts = parts.withColumn("_place", place).where(F.col("_place") <= TOP)
+    entry = F.concat_ws(":", "hodnota", F.col("_times").cast("string"))
+    top = parts.groupBy("sloupec").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", entry.alias("e")))), lambda x: x["e"]), ", ").alias("nejcastejsi")
+    )
     ends = df.agg(
         *[
             F.struct(
@@ -265,10 +278,8 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.sum("_times").alias("radku"),
         F.coalesce(F.sum(F.when(~present, F.col("_times"))), F.lit(0)).alias("prazdnych"),
         F.count("hodnota").alias("ruznych"),
-        top["v"].alias("nejcastejsi"),
-        (-top["t"]).alias("nejcastejsi_krat"),
     )
-    return counts.join(ends, "sloupec")
+    return counts.join(ends, "sloupec").join(top, "sloupec", "left")
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -97,17 +97,30 @@ def scan_pieces(
 ) -> DataFrame:
     """Records and what a check needs to know of the text around them, in one pass.
 
+    Columns: those of the series, the document's, ``_poradi`` and ``_znacky``
+    (see ``record_texts``).
+    """
+    options = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": CORRUPT}
+    record = F.from_xml("_text", F.lit((schema or dataset.schema).json()), options)
+    rows = record_texts(spark, dataset.row_tag, path, glob, versioned)
+    beside = [name for name in rows.columns if name != "_text"]
+    return rows.select(record.alias("_zaznam"), *beside).select("_zaznam.*", *beside)
+
+
+def record_texts(
+    spark: SparkSession, tag: str, path: str | Sequence[str], glob: str = DOCUMENT_GLOB, versioned: bool = False
+) -> DataFrame:
+    """The text of every record, ``_text``, with its document.
+
     The text is cut at the record's end tag, so a row holds one record and what
     precedes it; what follows the last record is a row of its own.  A document
     whose tags have a prefix is one row, all its records are found in it.
 
-    Columns: those of the series, the document's, ``_poradi`` (number of the
-    record in its piece, null where a piece has none) and ``_znacky`` (envelope
-    tags opened and closed, record tags, whether the envelope holds an element,
-    names around the records that are left open; once per piece).  Damaged
-    compression ends a document early.
+    ``_poradi`` is the number of the record in its piece, null where a piece has
+    none, and ``_znacky`` tells once per piece of the text around: envelope tags
+    opened and closed, record tags, whether the envelope holds an element, names
+    left open.  Damaged compression ends a document early.
     """
-    tag, schema = dataset.row_tag, schema or dataset.schema
     reader = spark.read.format("text").option("lineSep", f"</{tag}>").option("pathGlobFilter", glob)
     pieces = with_document(_load(reader.option("ignoreCorruptFiles", True), path), strict=False, versioned=versioned)
     value, envelope = F.col("value"), F.col("value").contains(ENVELOPE)
@@ -137,14 +150,10 @@ def scan_pieces(
         F.when(simple, 1).otherwise(F.regexp_count(value, F.lit(rf"<{_PREFIX}{tag}(?=[\s/>])"))).alias("tagged"),
         F.when(around.contains("<"), total(opens) - total(closes)).otherwise(F.lit(0).cast("long")).alias("balance"),
     )
-    rows = pieces.withColumn("_znacky", marks).select(
-        *[name for name in pieces.columns if name != "value"], "_znacky", F.posexplode_outer(found).alias("_poradi", "_text")
-    )
-    options = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": CORRUPT}
-    record = F.from_xml("_text", F.lit(schema.json()), options)
-    documents = [name for name in pieces.columns if name != "value"]
+    beside = [name for name in pieces.columns if name != "value"]
+    rows = pieces.withColumn("_znacky", marks).select(*beside, "_znacky", F.posexplode_outer(found).alias("_poradi", "_text"))
     once = F.when(F.coalesce("_poradi", F.lit(0)) == 0, F.col("_znacky")).alias("_znacky")
-    return rows.select(record.alias("_zaznam"), *documents, "_poradi", once).select("_zaznam.*", *documents, "_poradi", "_znacky")
+    return rows.select(*beside, "_poradi", once, "_text")
 
 
 # --- document check ------------------------------------------------------------------

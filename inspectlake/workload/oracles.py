@@ -258,6 +258,45 @@ def measurement_wide() -> str:
             md5(array_to_string(list_transform(v, lambda x: coalesce(x, '~')), '|')) AS otisk FROM w"""
 
 
+def structure_paths() -> str:
+    """Paths of the inspection records by block, each with the rows that have it."""
+    blocks: list[tuple[str, str, str]] = [
+        ("Prohlidka", "true", """. DatumProhlidky CasoveUdaje CasoveUdaje/Zahajeni CasoveUdaje/Ukonceni OdpovednaOsoba DruhProhlidky RozsahProhlidky
+            Vozidlo Vozidlo/Vin Vozidlo/Druh Vozidlo/Kategorie Vozidlo/Provedeni Vozidlo/Znacka Vozidlo/ObchodniOznaceni
+            Vozidlo/TypMotoru Registrace Registrace/DatumPrvniRegistrace Registrace/Stat Registrace/CisloDokladu
+            Vysledek Vysledek/Odometr Vysledek/DatumPristiProhlidky Vysledek/NalepkaVylepena Vysledek/VysledekCelkovy"""),
+        ("Prohlidka", f"{K} % 97 <> 1", "CisloProtokolu"),
+        ("Prohlidka", f"{K} % 6 = 0", "Vysledek/Poznamka"),
+        ("Prohlidka/AdministrativniOprava", f"{K} % 10 = 0", ". CisloProtokolu DatumProhlidky"),
+        ("Prohlidka/EmisniCast", "o_orderstatus <> 'P'", """. CisloProtokolu DatumProhlidky CasoveUdaje CasoveUdaje/Zahajeni
+            CasoveUdaje/Ukonceni OdpovednaOsoba ZakladniPalivo EmisniSystem VyrobceMotoru CisloMotoru RokVyroby"""),
+        ("Prohlidka/EmisniCast", f"o_orderstatus <> 'P' AND {K} % 4 = 0", "AlternativniPalivo"),
+        ("Prohlidka/TechnickaCast", "o_orderstatus <> 'O'", ". CasoveUdaje CasoveUdaje/Zahajeni CasoveUdaje/Ukonceni OdpovednaOsoba"),
+        ("Prohlidka/AdrCast", f"{K} % 5 = 0", """. CasoveUdaje CasoveUdaje/Zahajeni CasoveUdaje/Ukonceni OdpovednaOsoba KodCisterny
+            CisloOsvedceni ZavadyText Poznamka TypVozidlaADRSeznam"""),
+        ("Prohlidka/AdrCast", f"{K} % 10 = 0", "Platnost Platnost/Periodicka Platnost/Meziperiodicka"),
+        ("Prohlidka/AdrCast", f"{K} % 5 = 0 AND {K} % 3 > 0", "TypVozidlaADRSeznam/TypVozidlaADR"),
+        ("Prohlidka/TskCast", f"{K} % 2 = 0", ". CasoveUdaje CasoveUdaje/Zahajeni CasoveUdaje/Ukonceni OdpovednaOsoba KontrolniUkonSeznam"),
+        ("Prohlidka/TskCast/KontrolniUkonSeznam", f"{K} % 2 = 0 AND {K} % 6 > 0", "KontrolniUkon KontrolniUkon/Typ KontrolniUkon/Nevyhovujici"),
+    ]
+    for part, shift, condition in (("Prohlidka", 0, f"{K} % 13 <> 0"), ("Prohlidka/EmisniCast", 5, "o_orderstatus <> 'P'")):
+        blocks.append((f"{part}/Stanice", condition, ". Cislo Kraj Obec"))
+        blocks.append((f"{part}/Stanice", f"{condition} AND ({K} + {shift}) % 2 = 0", "ORP"))
+    for part, condition, modulus in (("TechnickaCast", "o_orderstatus <> 'O'", 4), ("TskCast", f"{K} % 2 = 0", 3), ("Vysledek", "true", 2)):
+        count = f"{K} % {modulus}"
+        severe = " OR ".join(f"({n} < {count} AND ({K} + {n}) % 5 <> 0)" for n in range(modulus - 1))
+        blocks.append((f"Prohlidka/{part}", condition, "ZavadaSeznam"))
+        blocks.append((f"Prohlidka/{part}/ZavadaSeznam", f"{condition} AND {count} > 0", "Zavada Zavada/Kod"))
+        blocks.append((f"Prohlidka/{part}/ZavadaSeznam", f"{condition} AND ({severe})", "Zavada/Zavaznost"))
+    counted = " UNION ALL ".join(
+        f"""SELECT unnest([{", ".join(f"'{block}'" if name == "." else f"'{block}/{name}'" for name in names.split())}]) AS cesta,
+        zaznamu, souboru FROM (SELECT count(*) AS zaznamu, count(DISTINCT date_trunc('month', o_orderdate)) AS souboru
+        FROM orders WHERE {condition})"""
+        for block, condition, names in blocks
+    )
+    return f"SELECT cesta, zaznamu, souboru FROM ({counted}) WHERE zaznamu > 0"
+
+
 def _named(names) -> str:
     return "(VALUES " + ", ".join(f"('{name}', {number})" for number, name in enumerate(names)) + ")"
 
@@ -468,9 +507,17 @@ def _profile() -> str:
             FROM c WHERE hodnota IS NOT NULL)
         SELECT c.sloupec, CAST(sum(c.n) AS BIGINT) AS radku,
             CAST(coalesce(sum(c.n) FILTER (c.hodnota IS NULL), 0) AS BIGINT) AS prazdnych, count(c.hodnota) AS ruznych,
-            any_value(e.nejmensi) AS nejmensi, any_value(e.nejvetsi) AS nejvetsi, any_value(t.hodnota) AS nejcastejsi,
-            any_value(t.n) AS nejcastejsi_krat
-        FROM c JOIN t ON t.sloupec = c.sloupec AND t.r = 1 JOIN e ON e.sloupec = c.sloupec GROUP BY 1"""
+            any_value(e.nejmensi) AS nejmensi, any_value(e.nejvetsi) AS nejvetsi, any_value(f.nejcastejsi) AS nejcastejsi
+        FROM c JOIN e USING (sloupec) LEFT JOIN (
+            SELECT sloupec, string_agg(hodnota || ':' || n, ', ' ORDER BY r) AS nejcastejsi FROM t WHERE r <= 5 GROUP BY 1) AS f USING (sloupec)
+        GROUP BY 1"""
+
+
+def _numeric_profile() -> str:
+    names = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
+    stacked = " UNION ALL ".join(f"SELECT '{name}' AS sloupec, CAST({name} AS DOUBLE) AS h FROM lineitem" for name in names)
+    return f"""SELECT sloupec, round(avg(h), 6) AS prumer, quantile_disc(h, 0.25) AS kvartil_1,
+        quantile_disc(h, 0.5) AS kvartil_2, quantile_disc(h, 0.75) AS kvartil_3 FROM ({stacked}) GROUP BY 1"""
 
 
 IMPUTE = """
@@ -582,6 +629,7 @@ def oracle_sql() -> dict[str, str]:
         "child_join": f"""SELECT "Zdroj", "Zavaznost", s AS "Vysledek_Celkovy", count(*) AS pocet
             FROM ({_defects(", o_orderstatus AS s")}) GROUP BY 1, 2, 3""",
         "run_signature": run_signature(),
+        "structure_paths": structure_paths(),
         "outcome_split": f"""SELECT 2::BIGINT AS modelu, count(*) FILTER (WHERE NOT {HELD_OUT}) AS trenovacich,
             count(*) FILTER (WHERE {HELD_OUT}) AS zkusebnich, true AS vybran_nejlepsi, true AS auc_platne,
             5::BIGINT AS priznaku, 1.0::DOUBLE AS soucet_dulezitosti, true AS serazeno FROM lineitem""",
@@ -608,11 +656,7 @@ def oracle_sql() -> dict[str, str]:
         "by_vehicle": BY_VEHICLE,
         "defect_corr": DEFECT_CORR,
         "profile": _profile(),
-        "numeric_profile": """SELECT sloupec, round(avg(h), 6) AS prumer, quantile_disc(h, 0.25) AS kvartil_1,
-            quantile_disc(h, 0.5) AS kvartil_2, quantile_disc(h, 0.75) AS kvartil_3
-            FROM (SELECT 'l_quantity' AS sloupec, l_quantity AS h FROM lineitem UNION ALL
-            SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL
-            SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY 1""",
+        "numeric_profile": _numeric_profile(),
         "impute": IMPUTE,
         "unify": _unify(),
         "drive_split": f"""SELECT CASE {K} % 3 WHEN 0 THEN 'benzin' WHEN 1 THEN 'nafta' ELSE 'plyn' END AS pohon,

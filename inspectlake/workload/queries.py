@@ -470,6 +470,11 @@ def structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census.child_counts(children)
 
 
+def structure_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paths of the inspection records."""
+    return census.structure_paths(documents.record_texts(spark, "Prohlidka", inspection_feed(spark, sf_dir), FEED_GLOB))
+
+
 def sampled_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The census over five files chosen by seed."""
     listing = files.list_files(spark, measurement_feed(spark, sf_dir), FEED_GLOB)
@@ -641,7 +646,7 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
-    return analysis.numeric_profile(items, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return analysis.numeric_profile(items, [name for name, kind in items.dtypes if kind in ("int", "bigint", "double")])
 
 
 def impute(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -747,6 +752,7 @@ REGISTERED: tuple[Query, ...] = (
     catalog_listing,
     structure_census,
     structure_counts,
+    structure_paths,
     sampled_census,
     child_integrity,
     childless_parents,

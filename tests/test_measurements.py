@@ -266,3 +266,14 @@ def test_census(spark, read, tmp_path):
     found = {r.element: (r.zaznamu, r.souboru) for r in census.child_names(children).collect()}
     assert found == {"TPS": (2, 1), "kourivost": (1, 1)}
     assert {r.pocet_deti: r.zaznamu for r in census.child_counts(children).collect()} == {2: 1, 1: 1}
+
+
+def test_paths_of_all_depths(spark, tmp_path):
+    body = "<Mereni a='1'><x:B xmlns:x='u'><C/><C d='2'>t</C></x:B></Mereni><Mereni><B/></Mereni><Mereni/>"
+    X.put(tmp_path, "Data za 05-06-2021.xml", X.measurements(body))
+    X.put(tmp_path, "Data za 06-06-2021.xml.gz", X.measurements("<Mereni><B><E></B></Mereni>"))
+    rows = census.structure_paths(documents.record_texts(spark, "Mereni", str(tmp_path))).collect()
+    assert {r.cesta: (r.zaznamu, r.souboru) for r in rows} == {
+        "Mereni": (4, 2), "Mereni/@a": (1, 1), "Mereni/B": (3, 2), "Mereni/B/@xmlns:x": (1, 1),
+        "Mereni/B/C": (1, 1), "Mereni/B/C/@d": (1, 1), "Mereni/B/E": (1, 1),
+    }

@@ -157,8 +157,12 @@ def test_cleaning_profile_and_unify(frame):
     rows = analysis.cleaned(df, ["vin", "motor"], upper=["vin"]).collect()
     assert [tuple(r) for r in rows] == [("WV1", None, 1), ("X", "y", 0), (None, None, 0)]
     got = {r.sloupec: r for r in analysis.profile(frame([(1, "a"), (1, "b"), (2, None)], "n int, s string"), ["n", "s"]).collect()}
-    assert (got["n"].radku, got["n"].ruznych, got["n"].nejcastejsi, got["n"].nejcastejsi_krat) == (3, 2, "1", 2)
-    assert (got["s"].prazdnych, got["s"].nejcastejsi) == (1, "a")
+    assert (got["n"].radku, got["n"].ruznych, got["n"].nejcastejsi) == (3, 2, "1:2, 2:1")
+    assert (got["s"].prazdnych, got["s"].nejcastejsi) == (1, "a:1, b:1")
+    (empty,) = analysis.profile(frame([(None,)], "n int"), ["n"]).collect()
+    assert (empty.prazdnych, empty.ruznych, empty.nejcastejsi) == (1, 0, None)
+    many = frame([(f"v{i % 997}",) for i in range(3000)] + [("often",)] * 9, "s string")
+    assert analysis.profile(many, ["s"]).first().nejcastejsi == "often:9, v0:4, v1:4, v2:4, v3:4"
     both = analysis.unify({"p": frame([(1, 2)], "a int, b int"), "m": frame([(3, 4)], "c int, a int")})
     assert sorted(tuple(r) for r in both.collect()) == [("m", 4), ("p", 1)]
 
