@@ -54,7 +54,11 @@ def repeated_runs(runs: DataFrame, values: str, vehicle: str, places: int | None
 
 def station_scores(df: DataFrame, station: str, flagged: Column) -> DataFrame:
     """Per station: flagged share, national share and z-score of the difference."""
-    stations = df.groupBy(station).agg(F.count("*").alias("pocet"), F.count_if(flagged).alias("oznaceno"))
+    return scores_of_counts(df.groupBy(station).agg(F.count("*").alias("pocet"), F.count_if(flagged).alias("oznaceno")), station)
+
+
+def scores_of_counts(stations: DataFrame, station: str) -> DataFrame:
+    """The same from one row per station with ``pocet`` and ``oznaceno``."""
     totals = stations.agg(F.sum("pocet").alias("_n"), F.sum("oznaceno").alias("_f")).first()
     national = totals["_f"] / totals["_n"] if totals["_n"] else 0.0
     share = F.col("oznaceno") / F.col("pocet")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -21,7 +21,9 @@ class Dataset:
     ``shape`` turns scanned XML rows into clean records and drops the rows the
     series does not accept; each entry of ``tables`` projects clean records to
     the rows of one target table.  The first table is the parent.  ``lookups``
-    are columns that rows are looked up by, one value at a time.
+    are columns that rows are looked up by, one value at a time.  ``sums`` are
+    tables of sums that add up over files, kept like the others by file version:
+    a corrected file takes its old sums back by bringing new ones.
     """
 
     name: str
@@ -30,6 +32,12 @@ class Dataset:
     shape: Callable[[DataFrame], DataFrame]
     tables: Mapping[str, Callable[[DataFrame], DataFrame]]
     lookups: Sequence[str] = ()
+    sums: Mapping[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+
+    @property
+    def targets(self) -> dict[str, Callable[[DataFrame], DataFrame]]:
+        """All tables an ingest writes."""
+        return {**self.tables, **self.sums}
 
     @property
     def parent(self) -> str:

@@ -157,6 +157,23 @@ def adr_types(records: DataFrame) -> DataFrame:
     return records.select(KEY, F.explode("adr_typy").alias("TypVozidlaADR"), *document_columns(records))
 
 
+SUMS_SCHEMA = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("kraj", "stanice")]
+    + [T.StructField(name, T.LongType()) for name in ("pocet", "uspech", "oznaceno")]
+)
+
+
+def sums(records: DataFrame) -> DataFrame:
+    """Per file, region and station: inspections, those without objection and those found unfit."""
+    documents = document_columns(records)
+    outcome = F.col("Vysledek_Celkovy")
+    found = records.groupBy(
+        *documents, F.col("Prohlidka_Stanice_Kraj").alias("kraj"), F.col("Prohlidka_Stanice_Cislo").alias("stanice")
+    ).agg(F.count("*").alias("pocet"), F.count_if(outcome == "F").alias("uspech"), F.count_if(outcome == "P").alias("oznaceno"))
+    # The sums of a file are few; together they are one part file.
+    return found.select(*SUMS_SCHEMA.names, *documents).repartition(*documents)
+
+
 INSPECTIONS = Dataset(
     name="prohlidky_vozidel",
     row_tag="Prohlidka",
@@ -164,6 +181,7 @@ INSPECTIONS = Dataset(
     shape=shape,
     tables={"prohlidky": inspections, "zavady": defects, "ukony": actions, "adr_typy": adr_types},
     lookups=("Vozidlo_Vin",),
+    sums={"soucty": sums},
 )
 
-__all__ = ["INSPECTIONS", "PARENT_COLUMNS", "PARENT_SCHEMA", "SCHEMA"]
+__all__ = ["INSPECTIONS", "PARENT_COLUMNS", "PARENT_SCHEMA", "SCHEMA", "SUMS_SCHEMA"]

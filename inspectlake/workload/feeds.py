@@ -8,6 +8,7 @@ are written once per application and scale into the shared folder.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -216,6 +217,27 @@ def _inspection_feed(spark: SparkSession, sf_dir: str, name: str, parts: int) ->
     )
 
 
+def place_corrections(spark: SparkSession, sf_dir: str, feed: str, corrected: bool) -> None:
+    """Inspection documents under fixed names: at first those of odd months lack
+    a fifth of their records, then they are replaced by whole ones."""
+    orders = orders_by_month(spark, sf_dir, "Prohlidky vozidel za")
+    odd, lacking = F.month("o_orderdate") % 2 == 1, F.col("o_orderkey") % 5 == 0
+    rows = orders.where(odd if corrected else ~(odd & lacking))
+    written = scratch(spark, sf_dir, f"opravy-{uuid.uuid4().hex}")
+    write_feed(
+        spark, rows, "o_orderkey", inspection_record(), "ProhlidkaSeznam", "istp:opendata:schemas:ProhlidkaSeznam:v1", written, 1
+    )
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(written).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.globStatus(path(f"{written}/soubor=*/kus=*/*.gz")):
+        own = status.getPath()
+        folder = path(f"{feed}/{own.getParent().getParent().getName()}/{own.getParent().getName()}")
+        system.mkdirs(folder)
+        final = path(folder, "zaznamy.xml.gz")
+        system.delete(final, False)
+        system.rename(own, final)
+
+
 # --- measurements --------------------------------------------------------------------
 #
 # A value is (31 k + 17 outlet + 7 place + 3 quantity) mod 9973, read as

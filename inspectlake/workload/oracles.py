@@ -590,6 +590,17 @@ def oracle_sql() -> dict[str, str]:
             count(*) AS pocet, count(*) FILTER (o_orderstatus = 'F') AS uspech,
             round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS podil
             FROM orders WHERE {KEPT} GROUP BY 1, 2""",
+        "report_after_correction": f"""WITH m AS (
+            SELECT {inspection_columns()["Prohlidka_Stanice_Kraj"]} AS kraj, {MONTH} AS mesic, count(*) AS pocet,
+                count(*) FILTER (o_orderstatus = 'F') AS uspech FROM orders WHERE {KEPT} GROUP BY 1, 2)
+            SELECT kraj, mesic, pocet, uspech, round(uspech / pocet, 6) AS podil,
+                pocet - lag(pocet) OVER (PARTITION BY kraj ORDER BY mesic) AS zmena FROM m""",
+        "stations_after_correction": f"""WITH s AS (
+            SELECT {inspection_columns()["Prohlidka_Stanice_Cislo"]} AS stanice, count(*) AS pocet,
+                count(*) FILTER (o_orderstatus = 'P') AS oznaceno FROM orders WHERE {KEPT} GROUP BY 1),
+            t AS (SELECT *, sum(oznaceno) OVER () / sum(pocet) OVER () AS p FROM s)
+            SELECT stanice, pocet, oznaceno, round(oznaceno / pocet, 6) AS podil, round(p, 6) AS podil_celkem,
+                round(CASE WHEN p * (1 - p) > 0 THEN (oznaceno / pocet - p) / sqrt(p * (1 - p) / pocet) ELSE 0.0 END, 6) AS z FROM t""",
         "registry_scan": REGISTRY,
         "registry_search": f"SELECT * FROM ({REGISTRY}) WHERE {_FOUND}",
         "registry_exists": f"SELECT count(*) > 0 AS nalezeno FROM ({REGISTRY}) WHERE {_FOUND}",

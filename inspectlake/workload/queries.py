@@ -14,7 +14,7 @@ from inspectlake.functions import casts, names
 from inspectlake.functions.dates import day_from_path, day_from_title, day_to_text, file_stem, text_to_day
 from inspectlake.operators import analysis, census, model, ranking, relations, report, search
 from inspectlake.plans import inspections, measurements
-from inspectlake.plans.inspections import INSPECTIONS, PARENT_COLUMNS, PARENT_SCHEMA
+from inspectlake.plans.inspections import INSPECTIONS, PARENT_COLUMNS, PARENT_SCHEMA, SUMS_SCHEMA
 from inspectlake.plans.measurements import MEASUREMENT_HEADS
 from inspectlake.sources import catalogue, delimited, documents, files, tables
 from inspectlake.streaming import ingest
@@ -25,6 +25,7 @@ from inspectlake.workload.feeds import (
     measurement_feed,
     measurement_table,
     once,
+    place_corrections,
     scratch,
     split_inspection_feed,
     table,
@@ -310,6 +311,26 @@ def daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _settled(spark, sf_dir, result, target)
 
 
+def _corrected_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums kept by a stream that took up all documents and then corrections of half of them."""
+
+    def write(target: str) -> None:
+        feed = scratch(spark, sf_dir, "opravovane_xml")
+        for corrected in (False, True):
+            place_corrections(spark, sf_dir, feed, corrected)
+            ingest.ingest_stream(spark, INSPECTIONS, feed, target, f"{target}/_checkpoint", glob=FEED_GLOB)
+
+    return tables.read_days(spark, f"{once(spark, sf_dir, 'opravene', write)}/soucty", SUMS_SCHEMA)
+
+
+def report_after_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.months_of_sums(_corrected_sums(spark, sf_dir))
+
+
+def stations_after_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.stations_of_sums(_corrected_sums(spark, sf_dir))
+
+
 # --- delimited files and search --------------------------------------------------------
 
 
@@ -738,6 +759,8 @@ REGISTERED: tuple[Query, ...] = (
     ingest_commits,
     inspection_history,
     daily_report,
+    report_after_correction,
+    stations_after_correction,
     registry_scan,
     registry_search,
     registry_exists,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 from tests import xml as X
 
-from inspectlake.plans.inspections import INSPECTIONS, PARENT_SCHEMA
+from inspectlake.plans.inspections import INSPECTIONS, PARENT_SCHEMA, SUMS_SCHEMA
 from inspectlake.plans.measurements import MEASUREMENTS
 from inspectlake.sources import tables
 from inspectlake.streaming import ingest
@@ -223,3 +223,17 @@ def test_replaced_versions_are_removed_and_lookups_have_bloom_filters(spark, fee
     columns = {c.getPath().toDotString(): c.getBloomFilterOffset() for c in reader.getFooter().getBlocks()[0].getColumns()}
     reader.close()
     assert columns["Vozidlo_Vin"] > 0 > columns["CisloProtokolu"]
+
+
+def test_sums_take_back_what_a_correction_drops(spark, feed, tmp_path):
+    def sums():
+        kept = tables.read_days(spark, f"{target}/soucty", SUMS_SCHEMA).collect()
+        return {(str(r.den), r.pocet) for r in kept}
+
+    target = str(tmp_path / "t")
+    ingest.ingest_pending(spark, INSPECTIONS, str(feed), target)
+    assert sums() == {("2020-01-01", 2), ("2020-01-02", 1)}
+    X.put(feed, "P 01-01-2020.xml", X.inspections(one("1")))
+    X.put(feed, "P 02-01-2020.xml.gz", X.inspections(one("3") + one("4"))[:-3])
+    ingest.ingest_pending(spark, INSPECTIONS, str(feed), target)
+    assert sums() == {("2020-01-01", 1), ("2020-01-02", 1)}
