@@ -39,13 +39,14 @@ def repeated_runs(runs: DataFrame, values: str, vehicle: str, places: int | None
     """Runs whose whole set of measured values occurs with another vehicle too, with ``radku`` and ``vozidel``.
 
     ``values`` is an array of quantity and value; ``places`` rounds the values
-    (null: exactly equal texts).  Hashes of the sorted sets are counted first;
-    only runs of a hash with two vehicles are grouped by the values themselves.
+    (null: exactly equal texts).  Signatures are written once.  Hashes of the
+    sorted sets are counted first; only runs of a hash with two vehicles are
+    grouped by the values themselves.
     """
     number = "try_cast(x.hodnota AS decimal(18,6))"
     shown = "x.hodnota" if places is None else f"coalesce(cast(round({number}, {places}) AS string), x.hodnota)"
     signature = F.expr(f"array_sort(transform(`{values}`, x -> named_struct('velicina', x.velicina, 'hodnota', {shown})))")
-    signed = runs.withColumn("_podpis", signature).withColumn("_otisk", F.xxhash64("_podpis"))
+    signed = kept(runs.withColumn("_podpis", signature).withColumn("_otisk", F.xxhash64("_podpis")), "podpisy")
     often = signed.groupBy("_otisk").agg(F.min(vehicle).alias("_lo"), F.max(vehicle).alias("_hi")).where("_lo != _hi")
     likely = signed.join(often.select("_otisk"), "_otisk", "left_semi")
     shared = likely.groupBy("_otisk", "_podpis").agg(F.count("*").alias("radku"), F.countDistinct(vehicle).alias("vozidel"))
