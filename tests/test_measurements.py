@@ -277,3 +277,15 @@ def test_paths_of_all_depths(spark, tmp_path):
         "Mereni": (4, 2), "Mereni/@a": (1, 1), "Mereni/B": (3, 2), "Mereni/B/@xmlns:x": (1, 1),
         "Mereni/B/C": (1, 1), "Mereni/B/C/@d": (1, 1), "Mereni/B/E": (1, 1),
     }
+
+
+def test_short_ids_of_the_wide_view_lead_back(read):
+    outlet = f"<vyusteni><otackyVolnobezne>{measured('CO', 1)}</otackyVolnobezne></vyusteni>"
+    wide = plan.wide(read(device(f"<detailPlyn>{outlet}</detailPlyn>")))
+    columns = list(plan.wide_columns())
+    short = names.to_ids(wide, columns)
+    assert short.columns[:1970] == [format(i, "03x") for i in range(1970)]
+    back = names.from_ids(short, columns)
+    assert back.columns == wide.columns
+    place = "Plyn_Vyusteni0_OtackyVolnobezne_CO_Hodnota"
+    assert back.select(place).first()[0] == short.select(format(columns.index(place), "03x")).first()[0] == "1"
