@@ -65,7 +65,7 @@ def mix(
     repeated ones; clashing column names are replaced.  An empty table gives an
     empty mix.  ``docs`` is read once and written with its order.
     """
-    own = [c for c in docs.columns if c != "mix_sources"]
+    own = [c for c in docs.columns if c.lower() != "mix_sources"]
     pattern, words, order, salt = free("pattern", "words", "order", "salt", among=own)
     keyed = salted(docs.select(own), key, salt).select(
         *own,

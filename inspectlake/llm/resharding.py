@@ -50,7 +50,7 @@ def reshard(
     ``slot`` columns are replaced.  An empty table gives an empty result.
     ``docs`` is read once and written with its order.
     """
-    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     home, weight, order, into, salt = free("home", "weight", "order", "into", "salt", among=own)
     keyed = salted(docs.select(own), key, salt).select(
         *own,

@@ -556,3 +556,11 @@ def test_index_retrieves_every_code_within_the_radius():
     for radius in (0, 3, 7, 12, 32):
         want = np.flatnonzero(neighbours.hamming(codes[0], codes) <= radius)
         assert (index.within(codes[0], radius) == want).all()
+
+
+def test_clashing_names_of_other_case_are_replaced(spark):
+    docs = spark.createDataFrame([(i, i % 3, 10 + i, "s", "x", "x", "x") for i in range(20)], "doc_id long, old int, size long, source string, Shard string, SLOT string, Mix_Sources string")
+    placed = resharding.reshard(docs.drop("Mix_Sources"), "old", "size", 2)
+    assert {r.shard for r in placed.collect()} == {0, 1} and [c.lower() for c in placed.columns].count("shard") == 1
+    mixed, _ = mixing.mix_table(docs, "size")
+    assert [c.lower() for c in mixed.columns].count("mix_sources") == 1 and mixed.count() == 20
