@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by multi-index hashing of rotated binary codes.
 
 Vectors become bits by the signs of learned rotations (iterative quantization
-on a bounded sample).  A code is split into bytes and each byte is indexed.
+on a bounded sample).  A code is split into substrings and each is indexed.
 Codes within Hamming radius r of a query agree with it to within r // m in one
-of the m bytes at least (and to within one less in the later ones), so probing
-those byte values retrieves every code within the radius; these are ranked by
-the inner product of the vectors themselves.
+of the m substrings at least (and to within one less in the later ones), so
+probing those values retrieves every code within the radius; these are ranked
+by the inner product of the vectors themselves.
 
-Vectors and queries meet in blocks of bounded size, one task each.
+Vectors and queries meet in blocks of bounded size, one task each, with
+substrings somewhat longer than the logarithm of a block.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ TURNS = 30
 #: Share of the sample's true neighbours that the radius has to cover.
 COVERED = 0.97
 SAMPLE_QUERIES = 512
-VECTOR_BLOCK = 4096
-QUERY_BLOCK = 256
+VECTOR_BLOCK = 8192
+QUERY_BLOCK = 2048
 #: Bits by which a radius grows while a block has not given enough neighbours.
 WIDER = 8
 
-_ONES = np.array([bin(i).count("1") for i in range(256)])
-_DISTANCE = _ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
+#: Substrings of a code, and the changes by at most so many bits of one.
+PART_BITS = 16
+_VALUES = np.arange(1 << PART_BITS, dtype=np.uint16)
+_BY_ONES = _VALUES[np.argsort(np.bitwise_count(_VALUES), kind="stable")]
+_UP_TO = np.cumsum(np.bincount(np.bitwise_count(_VALUES)))
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -85,7 +89,7 @@ class Codes:
 
 
 def hamming(code: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return _ONES[code ^ codes].sum(axis=-1)
+    return np.bitwise_count(code ^ codes).sum(axis=-1, dtype=np.int64)
 
 
 def learn(sample: np.ndarray, longest: float, seed: int, k: int) -> tuple[Codes, int]:
@@ -102,28 +106,36 @@ def learn(sample: np.ndarray, longest: float, seed: int, k: int) -> tuple[Codes,
 
 
 class Index:
-    """Inverted lists of the bytes of codes."""
+    """Inverted lists of the substrings of codes: rows by value, lists behind one another."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.parts = codes, codes.shape[1]
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.start = np.stack([np.searchsorted(np.sort(codes[:, j]), np.arange(257)) for j in range(self.parts)])
+        self.words = np.ascontiguousarray(codes.view(np.uint32).T)
+        parts = np.ascontiguousarray(codes.view(np.uint16).T)
+        self.rows = np.argsort(parts, axis=1, kind="stable")
+        self.values = np.take_along_axis(parts, self.rows, axis=1)
+        self.start = [np.concatenate([[0], np.cumsum(np.bincount(part, minlength=len(_VALUES)))]) for part in parts]
+
+    def _listed(self, j: int, part: np.uint16, reach: int) -> np.ndarray:
+        """Rows in the lists of substring ``j`` whose value is ``part`` but for ``reach`` bits."""
+        near = _UP_TO[min(reach, PART_BITS)] if reach >= 0 else 0
+        if near >= self.rows.shape[1]:
+            # More values than rows: read off which lists are meant along the rows.
+            return self.rows[j][np.bitwise_count(self.values[j] ^ part) <= reach]
+        keys = (part ^ _BY_ONES[:near]).astype(np.intp)
+        first = self.start[j][keys]
+        count = self.start[j][keys + 1] - first
+        skip = np.repeat(first - (np.cumsum(count) - count), count)
+        return self.rows[j][skip + np.arange(len(skip))]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows of all codes within ``radius`` of ``code``."""
-        if radius >= 8 * self.parts:
-            return np.arange(len(self.codes))
-        each, extra = divmod(radius, self.parts)
-        hit = np.zeros(len(self.codes), dtype=bool)
-        for j in range(self.parts):
-            reach = each if j <= extra else each - 1
-            keys = np.flatnonzero(_DISTANCE[code[j]] <= reach)
-            first, count = self.start[j, keys], self.start[j, keys + 1] - self.start[j, keys]
-            if total := int(count.sum()):
-                skip = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-                hit[self.order[skip + np.arange(total), j]] = True
+        each, extra = divmod(radius, len(self.rows))
+        hit = np.zeros(self.rows.shape[1], dtype=bool)
+        for j, part in enumerate(code.view(np.uint16)):
+            hit[self._listed(j, part, each if j <= extra else each - 1)] = True
         rows = np.flatnonzero(hit)
-        return rows[hamming(code, self.codes[rows]) <= radius]
+        apart = sum(np.bitwise_count(word[rows] ^ own) for word, own in zip(self.words, code.view(np.uint32), strict=True))
+        return rows[apart <= radius]
 
 
 def search(vectors: DataFrame, key: str, vector: str, queries: str, *, k: int = 20, seed: int = 5) -> DataFrame:
@@ -173,6 +185,7 @@ def _nearest(ids, values, query_ids, queries, codes: Codes, radius: int, k: int)
     out: tuple[list, list, list] = ([], [], [])
     if len(ids) and len(query_ids):
         index = Index(codes.of_vectors(values))
+        room = np.empty_like(values)
         for q, vector, code in zip(query_ids, queries, codes.of_queries(queries), strict=True):
             others = len(ids) - int((ids == q).sum())
             reach = radius
@@ -183,7 +196,11 @@ def _nearest(ids, values, query_ids, queries, codes: Codes, radius: int, k: int)
                     break
                 reach += WIDER
             # Row by row, so that equal vectors have equal scores.
-            scores = np.einsum("ij,j->i", values[rows], vector)
+            found = np.take(values, rows, axis=0, out=room[: len(rows)], mode="clip")
+            scores = np.einsum("ij,j->i", found, vector)
+            if len(rows) > k:
+                best = scores >= np.partition(scores, -k)[-k]
+                rows, scores = rows[best], scores[best]
             top = np.lexsort((ids[rows], -scores))[:k]
             out[0].append(np.full(len(top), q))
             out[1].append(ids[rows][top])
