@@ -18,7 +18,6 @@ of frequent words goes to every task, all others are joined.
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import itertools
 import math
@@ -63,8 +62,9 @@ ODDS_STEPS = 32
 HALF = np.float32(ODDS_STEPS / 2)
 ODDS_RATE = np.float32(0.005)
 LEAST = 1e-5
-#: Windows that the first weights are fitted on, steps of that, and the pull to START_WEIGHT.
-SAMPLE = 512
+#: First weights: levels of log odds on either side of 0 and the width of one, steps of the fit, and the pull to START_WEIGHT.
+LEVELS = 16
+LEVEL = 8
 ROUNDS = 8
 RIDGE = 5.0
 #: Words of at most so many bytes that every task holds with their counts.
@@ -290,33 +290,76 @@ def mixed_bits(parts: list[tuple[bytes, bool]], code: Code, tables: list[np.ndar
     return lanes.mix(weights)
 
 
-def fit_weights(parts: list[tuple[bytes, bool]], code: Code, counts: np.ndarray) -> np.ndarray:
-    """Weights (context by gate) that every window starts with, by logistic regression on sampled windows.
+def tally_odds(parts: list[tuple[bytes, bool]], code: Code, counts: np.ndarray) -> np.ndarray:
+    """How many bits of the windows lie in each cell: gate, level of each context's log odds, bit.
 
-    The bits of a window are left out of the counts (contexts by slots by two) they are predicted with.
+    A bit is left out of the counts (contexts by slots by two) it is predicted with.
     """
-    n = len(CONTEXTS)
-    weights = np.full((n, n + 1), START_WEIGHT, dtype=np.float32)
-    if not parts:
-        return weights
     bits = Bits(parts, code)
-    window = np.repeat(np.arange(len(parts), dtype=np.int64), bits.of_window)[:, None]
+    every = np.arange(len(bits.bit))
 
     def odds_of(c: int) -> np.ndarray:
-        slot = bits.slots(c)
-        own = window * (2 << SLOT_BITS) + slot[:, None] * 2 + np.arange(2)
-        keys, times = np.unique(own[np.arange(len(slot)), bits.bit], return_counts=True)
-        place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        return log_odds(counts[c].reshape(-1, 2)[slot].astype(np.int64) - np.where(keys[place] == own, times[place], 0))
+        pairs = counts[c].reshape(-1, 2)[bits.slots(c)].astype(np.int32)
+        pairs[every, bits.bit] -= 1
+        return _odds_table()[np.minimum(np.maximum(pairs[:, 1], 0), 255), np.minimum(np.maximum(pairs[:, 0], 0), 255)]
 
     rows = rows_of(bits, odds_of)
-    for gate in range(n + 1):
-        own = rows[rows[:, GATE] == gate]
-        x, bit, w = own[:, :n] / SCALE, own[:, BIT], weights[:, gate].astype(float)
+    cell = rows[:, GATE].astype(np.int32)
+    for c in range(len(CONTEXTS)):
+        cell *= 2 * LEVELS + 1
+        cell += (np.rint(rows[:, c] / np.float32(LEVEL)) + LEVELS).astype(np.int32)
+    cell *= 2
+    cell += rows[:, BIT]
+    return np.bincount(cell, minlength=CELLS)
+
+
+#: Cells of a tally: gates by levels of each context by bits.
+CELLS = (len(CONTEXTS) + 1) * (2 * LEVELS + 1) ** len(CONTEXTS) * 2
+
+
+@functools.lru_cache(maxsize=1)
+def _odds_table() -> np.ndarray:
+    """Log odds by count of ones and of zeros, up to 255."""
+    ones, zeros = np.divmod(np.arange(1 << 16), 256)
+    return log_odds(np.stack([zeros, ones], axis=1)).reshape(256, 256)
+
+
+def tallied(texts: DataFrame, code: Code, counts: np.ndarray) -> np.ndarray:
+    """The cells of all windows of the column ``text``, summed by Spark; of fixed size, whatever the corpus."""
+    held = texts.sparkSession.sparkContext.broadcast((code, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, counts = held.value
+        cells = np.zeros(CELLS, dtype=np.int64)
+        for batch in _slices(batches):
+            for lot in _lots(batch.column("text").cast(pa.binary()).to_pylist(), FEW):
+                cells += tally_odds([part for _, part in lot], code, counts)
+        met = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(cells[met], pa.int64())], names=["cell", "n"])
+
+    cells = np.zeros(CELLS, dtype=np.int64)
+    found = texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return cells
+
+
+def fit_weights(parts: list[tuple[bytes, bool]], code: Code, counts: np.ndarray) -> np.ndarray:
+    """First weights from windows at hand."""
+    return weights_of(tally_odds(parts, code, counts) if parts else np.zeros(CELLS, dtype=np.int64))
+
+
+def weights_of(cells: np.ndarray) -> np.ndarray:
+    """Weights (context by gate) that every window starts with, by logistic regression on the tallied bits."""
+    n = len(CONTEXTS)
+    weights = np.full((n, n + 1), START_WEIGHT, dtype=np.float32)
+    for gate, own in enumerate(cells.reshape(n + 1, -1, 2)):
+        met = np.flatnonzero(own.any(axis=1))
+        levels = np.stack(np.unravel_index(met, (2 * LEVELS + 1,) * n), axis=1)
+        x, (zeros, ones), w = (levels - LEVELS) * (LEVEL / SCALE), own[met].T.astype(float), weights[:, gate].astype(float)
         for _ in range(ROUNDS):
             p = _squash(x @ w)
-            slope = x.T @ (bit - p) + RIDGE * (START_WEIGHT - w)
-            w = w + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + RIDGE * np.eye(n), slope)
+            slope = x.T @ (ones - (zeros + ones) * p) + RIDGE * (START_WEIGHT - w)
+            w = w + np.linalg.solve(x.T @ (x * ((zeros + ones) * p * (1 - p))[:, None]) + RIDGE * np.eye(n), slope)
         weights[:, gate] = w
     return weights
 
@@ -335,12 +378,10 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(kind, word, n) of the column ``text``.
 
     Counts of words (kind w) and of symbols behind their pair of bytes (s, four
-    bytes); from each task, the ``SAMPLE`` windows of the least hash, of one a
-    text (x).
+    bytes).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn: set[bytes] = set()
         symbols: Counter[int] = Counter()
         for batch in _slices(batches):
             column = batch.column("text").fill_null("")
@@ -350,9 +391,6 @@ def count_words(texts: DataFrame) -> DataFrame:
             for some in itertools.batched(column.cast(pa.binary()).to_pylist(), 4 * FEW):
                 for keys, times in _triples(some):
                     symbols.update(dict(zip(keys.tolist(), times.tolist(), strict=True)))
-                drawn.update(map(_drawn, some))
-                drawn = set(sorted(drawn)[:SAMPLE])
-        yield _counted("x", pa.array(sorted(drawn), pa.binary()), pa.array([1] * len(drawn), pa.int64()))
         yield _counted("s", pa.array([k.to_bytes(4) for k in symbols], pa.binary()), pa.array(symbols.values(), pa.int64()))
 
     return texts.mapInArrow(run, "kind string, word binary, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
@@ -388,14 +426,6 @@ def fit_code(counts: DataFrame) -> Code:
     return Code(plain, pairs)
 
 
-def _drawn(text: bytes) -> bytes:
-    """A window of the text behind 8 bytes of hash; its last byte tells whether the text ends."""
-    hashed = hashlib.blake2b(text, digest_size=8).digest()
-    at = int.from_bytes(hashed) % max(1, -(-len(text) // WINDOW))
-    part, ends = next(itertools.islice(windows(text), at, None))
-    return hashed + part + bytes([ends])
-
-
 def add_counts(counts: np.ndarray, bits: Bits) -> None:
     for c, own in enumerate(counts):
         slots = bits.slots(c)
@@ -519,8 +549,7 @@ def score(docs: DataFrame, learn: str, keep: list[str], *, text: str = "text") -
     counts = stage(count_words(learned), "words")
     code = fit_code(counts)
     seen = collected(stage(count_contexts(learned, code), "contexts"))
-    drawn = [r["word"] for r in counts.filter("kind = 'x'").orderBy("word").limit(SAMPLE).collect()]
-    weights = fit_weights([(w[8:-1], bool(w[-1])) for w in drawn], code, seen)
+    weights = weights_of(tallied(learned, code, seen))
     odds = [log_odds(c.reshape(-1, 2)) for c in seen]
     met = counts.filter("kind = 'w'")
     total, kinds, ends = met.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.expr("coalesce(sum(n) filter (where word = X''), 0)")).first()

@@ -162,3 +162,22 @@ def test_awkward_rows(spark):
     nothing = mix.score(docs, "false", ["doc_id"]).collect()
     assert len(nothing) == 6 and all(r.train_tokens == r.n_known == 0 and r.bits > 0 for r in nothing)
     assert mix.score(docs.limit(0), "true", ["doc_id"]).count() == 0
+
+
+def test_first_weights_come_from_all_training_windows(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randint(0, 400)).decode() for _ in range(50)] + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = []
+    monkeypatch.setattr(mix, "weights_of", lambda cells, fit=mix.weights_of: found.append(cells) or fit(cells))
+    assert mix.score(docs, "doc_id % 5 > 0", ["doc_id"]).count() == len(texts)
+    learned = [(t or "").encode() for i, t in enumerate(texts) if i % 5]
+    parts = [part for t in learned for part in mix.windows(t)]
+    code = mix.fit_code(mix.count_words(docs.filter("doc_id % 5 > 0").select("text")))
+    counts = np.zeros((len(mix.CONTEXTS), 2 << mix.SLOT_BITS), dtype=np.uint32)
+    bits = mix.Bits(parts, code)
+    mix.add_counts(counts, bits)
+    assert [c.sum() for c in found] == [len(bits.bit)]
+    assert counts.max() > 255 or (found[0] == mix.tally_odds(parts, code, counts)).all()
+    weights = mix.weights_of(found[0])
+    assert weights.shape == (len(mix.CONTEXTS), len(mix.CONTEXTS) + 1) and np.isfinite(weights).all()
