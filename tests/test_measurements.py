@@ -43,6 +43,13 @@ def test_wide_names_follow_the_grammar():
     assert ids[columns[0]] == "000" and ids[columns[-1]] == "7b1"
 
 
+def test_a_path_is_walked_once_for_all_leaves_below():
+    """Every step of a path costs time in every record."""
+    outlets = plan._spark_outlets("d") + plan._diesel_outlets("d") + plan._diesel_limits("d")
+    for step in ("`min`", "`max`"):
+        assert outlets.count(step) == len(plan.REGIMES) * len(plan.REGIME_QUANTITIES) + 2 * len(plan.RUN_QUANTITIES) + len(plan.LIMIT_QUANTITIES)
+
+
 def test_planned_types():
     types = list(plan.wide_types().values())
     assert (types.count(casts.AMOUNT), types.count(casts.FLAG), types.count(casts.INTEGER)) == (1228, 696, 2)
