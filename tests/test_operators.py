@@ -152,6 +152,18 @@ def test_fill(frame):
     ]
 
 
+def test_rows_of_few_groups_do_not_move_to_their_statistics(spark):
+    df = spark.createDataFrame([("a", 1.0, "x"), ("a", None, None), (None, 3.0, "y")], "g string, v double, s string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (analysis.fill_median(df, ["g"], "v"), analysis.fill_mode(df, ["g"], "s"), analysis.with_outlier_flags(df, ["g"], "v")):
+            joins = rows._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin [coalesce(g#" in joins and "SortMergeJoin [coalesce(g#" not in joins
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_cleaning_profile_and_unify(frame):
     df = frame([(" wv1 ", "-"), ("x", " y "), (None, "")], "vin string, motor string")
     rows = analysis.cleaned(df, ["vin", "motor"], upper=["vin"]).collect()
