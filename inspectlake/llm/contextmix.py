@@ -130,6 +130,11 @@ class Code:
         self.nodes = np.array([n for p in paths for n, _ in p], dtype=np.uint32)
         self.bits = np.array([b for p in paths for _, b in p], dtype=np.uint8)
 
+    @functools.cached_property
+    def steps(self) -> np.ndarray:
+        """Node and bit in one number, as counters are numbered; made where it is used, so that it is not sent."""
+        return self.nodes << np.uint32(1) | self.bits
+
 
 def windows(text: bytes) -> Iterator[tuple[bytes, bool]]:
     """Each window behind the ``REACH`` bytes before it (spaces before the text), and whether the text ends there."""
@@ -140,7 +145,7 @@ def windows(text: bytes) -> Iterator[tuple[bytes, bool]]:
 
 
 class Bits:
-    """Bits of several windows in one run: node, bit, and the hashed contexts of their symbols."""
+    """Bits of several windows in one run: node and bit, and the hashed contexts of their symbols."""
 
     def __init__(self, parts: list[tuple[bytes, bool]], code: Code):
         marked = [text + b"\0" if ends else text for text, ends in parts]
@@ -150,27 +155,38 @@ class Bits:
         symbols[edges[[ends for _, ends in parts]] - 1] = END
         coded = np.ones(len(symbols), dtype=bool)
         coded[(edges - sizes)[:, None] + np.arange(REACH)] = False
-        self.contexts = [_scattered(c[coded]) for c in _contexts(symbols)]
+        coded = np.flatnonzero(coded)
+        self.contexts = [_scattered(c.take(coded)) for c in _contexts(symbols)]
         pair = symbols.astype(np.int32)
         pair[2:] = (pair[:-2] & 255) << 8 | pair[1:-1] & 255
-        spelled = code.tree_of[pair[coded]] * SYMBOLS + symbols[coded]
-        lengths = code.lengths[spelled]
+        spelled = code.tree_of.take(pair.take(coded))
+        spelled *= SYMBOLS
+        spelled += symbols.take(coded)
+        lengths = code.lengths.take(spelled)
         ends = np.cumsum(lengths, dtype=np.int64)
         # The symbol of each bit; every symbol has one at least.
-        turn = np.zeros(ends[-1], dtype=np.int8)
-        turn[ends[:-1]] = 1
-        self.symbol = np.cumsum(turn, dtype=np.intp)
-        at = np.take(code.first[spelled] - (ends - lengths), self.symbol, mode="clip")
+        self.symbol = np.zeros(ends[-1], dtype=np.intp)
+        self.symbol[ends[:-1]] = 1
+        np.cumsum(self.symbol, out=self.symbol)
+        at = np.take(code.first.take(spelled) - (ends - lengths), self.symbol, mode="clip")
         at += np.arange(len(at))
-        self.node, self.bit = (np.take(x, at, mode="clip") for x in (code.nodes, code.bits))
+        self.step = np.take(code.steps, at, mode="clip")
         self.of_window = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes - REACH)])])
 
     def slots(self, context: int) -> np.ndarray:
         """Slots of a context's nodes lie behind one another, the first nodes of its symbols next to each other."""
-        slots = np.take(self.contexts[context], self.symbol, mode="clip")
-        slots += self.node
-        slots &= np.uint32((1 << SLOT_BITS) - 1)
-        return slots.astype(np.intp)
+        return self.counters(context) >> 1
+
+    def counters(self, context: int) -> np.ndarray:
+        """Each bit's own counter in its slot: twice the slot plus the bit."""
+        counters = np.take(self.contexts[context] << np.uint32(1), self.symbol, mode="clip")
+        counters += self.step
+        counters &= np.uint32((2 << SLOT_BITS) - 1)
+        return counters.astype(np.intp)
+
+    @property
+    def bit(self) -> np.ndarray:
+        return (self.step & np.uint32(1)).astype(np.uint8)
 
 
 def _scattered(hashes: np.ndarray) -> np.ndarray:
@@ -198,12 +214,12 @@ def _contexts(symbols: np.ndarray) -> list[np.ndarray]:
         # The word so far as a difference of running sums, scaled back to its start.
         index = np.arange(len(value), dtype=np.int32)
         start = np.zeros_like(index)
-        start[1:] = np.maximum.accumulate(np.where(_SPACE[symbols], index + 1, 0))[:-1]
+        start[1:] = np.maximum.accumulate(np.where(_SPACE.take(symbols), index + 1, 0))[:-1]
         start = np.maximum(start, index - WORD_REACH)
         powers, back = _powers(1 << len(value).bit_length())
         sums = np.zeros(len(value) + 1, dtype=np.uint32)
         np.cumsum(value * powers[: len(value)], dtype=np.uint32, out=sums[1:])
-        made[0] = (sums[:-1] - sums[start]) * back[start]
+        made[0] = (sums[:-1] - sums.take(start)) * back.take(start)
     return [made[c] for c in CONTEXTS]
 
 
@@ -219,13 +235,11 @@ class Lanes:
     def __init__(self, of_window: np.ndarray, rows: np.ndarray):
         self.order = np.argsort(-of_window, kind="stable")
         lengths = of_window[self.order]
-        starts = (np.cumsum(of_window) - of_window)[self.order]
+        self.starts = (np.cumsum(of_window) - of_window)[self.order]
         # Windows still coding at each step.
         steps = int(lengths.max(initial=0))
-        alive = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
-        self.edges = [0, *itertools.accumulate(alive)]
-        at = np.concatenate([starts[:n] + step for step, n in enumerate(alive)]) if steps else starts[:0]
-        self.rows = rows.view(np.uint64).ravel()[at].view(np.int8).reshape(-1, ROW)
+        self.alive = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
+        self.rows = rows.view(np.uint64).ravel()
 
     def mix(self, weights: np.ndarray) -> np.ndarray:
         """Bits that each window costs, in the order of the windows.
@@ -235,14 +249,16 @@ class Lanes:
         n, width = len(CONTEXTS), len(self.order)
         lane, spent = np.arange(width) * (ODDS_STEPS + 1), np.zeros(width)
         learned, seen = np.zeros((n, width), dtype=np.float32), np.zeros((ODDS_STEPS + 1) * width, dtype=np.float32)
-        for low in range(0, len(self.edges) - 1, STEPS):
-            edges = self.edges[low : low + STEPS + 1]
-            rows = self.rows[edges[0] : edges[-1]]
+        for low in range(0, len(self.alive), STEPS):
+            alive = self.alive[low : low + STEPS]
+            # Next steps of a window lie together; those behind its end are read, but not used.
+            steps = np.arange(low, low + len(alive))
+            rows = self.rows.take(self.starts[: alive[0], None] + steps, mode="clip").T.ravel().view(np.int8).reshape(-1, ROW)
             xs = np.ascontiguousarray(rows[:, :n].T, dtype=np.float32)
             xs *= np.float32(0.5 / SCALE)
             fixed = np.einsum("ij,ij->j", weights.take(rows[:, GATE], axis=1), xs)
             bits = rows[:, BIT] * np.float32(2) - np.float32(1)
-            steps = [(a - edges[0], b - edges[0]) for a, b in itertools.pairwise(edges)]
+            steps = [(step * alive[0], step * alive[0] + on) for step, on in enumerate(alive)]
             for a, b in steps:
                 x, bit, more = xs[:, a:b], bits[a:b], learned[:, : b - a]
                 first = np.einsum("ij,ij->j", more, x)
@@ -273,7 +289,7 @@ def rows_of(bits: Bits, odds_of) -> np.ndarray:
     gate = np.zeros(len(rows), dtype=np.int8)
     for c in range(len(CONTEXTS)):
         rows[:, c] = own = odds_of(c)
-        gate[own != 0] = c + 1
+        np.maximum(gate, (own != 0).view(np.int8) * np.int8(c + 1), out=gate)
     rows[:, GATE], rows[:, BIT] = gate, bits.bit
     return rows
 
@@ -290,31 +306,56 @@ def mixed_bits(parts: list[tuple[bytes, bool]], code: Code, tables: list[np.ndar
     return lanes.mix(weights)
 
 
+#: Cells of a tally: gates by levels of each context by bits.
+CELLS = (len(CONTEXTS) + 1) * (2 * LEVELS + 1) ** len(CONTEXTS) * 2
+#: What a context tells of a bit: a level, or nothing; cells of that, by context and bit.
+KINDS = 2 * LEVELS + 2
+TOLD = KINDS ** len(CONTEXTS) * 2
+
+
 def tally_odds(parts: list[tuple[bytes, bool]], code: Code, counts: np.ndarray) -> np.ndarray:
     """How many bits of the windows lie in each cell: gate, level of each context's log odds, bit.
 
     A bit is left out of the counts (contexts by slots by two) it is predicted with.
     """
-    bits = Bits(parts, code)
-    every = np.arange(len(bits.bit))
-
-    def odds_of(c: int) -> np.ndarray:
-        pairs = counts[c].reshape(-1, 2)[bits.slots(c)].astype(np.int32)
-        pairs[every, bits.bit] -= 1
-        return _odds_table()[np.minimum(np.maximum(pairs[:, 1], 0), 255), np.minimum(np.maximum(pairs[:, 0], 0), 255)]
-
-    rows = rows_of(bits, odds_of)
-    cell = rows[:, GATE].astype(np.int32)
-    for c in range(len(CONTEXTS)):
-        cell *= 2 * LEVELS + 1
-        cell += (np.rint(rows[:, c] / np.float32(LEVEL)) + LEVELS).astype(np.int32)
-    cell *= 2
-    cell += rows[:, BIT]
-    return np.bincount(cell, minlength=CELLS)
-
-
-#: Cells of a tally: gates by levels of each context by bits.
-CELLS = (len(CONTEXTS) + 1) * (2 * LEVELS + 1) ** len(CONTEXTS) * 2
+    return cells_of(tally_told(Bits(parts, code), told_without(counts)))
+
+
+def told_without(counts: np.ndarray) -> np.ndarray:
+    """By context, slot and bit: what is told of such a bit by the other bits counted there."""
+    levels = np.rint(_odds_table() / np.float32(LEVEL)).astype(np.int8) + np.int8(LEVELS)
+    kinds = np.where(_odds_table() == 0, KINDS - 1, levels).astype(np.uint8)
+    told = np.empty(counts.shape, dtype=np.uint8)
+    for own, pairs in zip(told, counts.reshape(len(counts), -1, 2), strict=True):
+        zeros, ones = (np.minimum(pairs[:, bit].astype(np.int64), 256) for bit in range(2))
+        for bit in range(2):
+            left = (np.clip(n - (b == bit), 0, 255) for b, n in enumerate((zeros, ones)))
+            own[bit::2] = kinds[tuple(left)[::-1]]
+    return told
+
+
+def tally_told(bits: Bits, told: np.ndarray) -> np.ndarray:
+    """How many bits there are of each combination of what the contexts tell, and of each value."""
+    key = np.zeros(len(bits.step), dtype=np.int32)
+    for c, own in enumerate(told):
+        key *= KINDS
+        key += np.take(own, bits.counters(c), mode="clip")
+    key *= 2
+    key += bits.bit
+    return np.bincount(key, minlength=TOLD)
+
+
+def cells_of(tally: np.ndarray) -> np.ndarray:
+    """The tally by gate, levels and bit: a context that tells nothing has level 0."""
+    *kinds, bit = np.unravel_index(np.arange(TOLD), (*[KINDS] * len(CONTEXTS), 2))
+    gate = np.zeros(TOLD, dtype=np.intp)
+    for c, kind in enumerate(kinds):
+        gate[kind < KINDS - 1] = c + 1
+        kind[kind == KINDS - 1] = LEVELS
+    cells = np.zeros(CELLS, dtype=np.int64)
+    shape = (len(CONTEXTS) + 1, *[2 * LEVELS + 1] * len(CONTEXTS), 2)
+    np.add.at(cells, np.ravel_multi_index((gate, *kinds, bit), shape), tally)
+    return cells
 
 
 @functools.lru_cache(maxsize=1)
@@ -326,14 +367,15 @@ def _odds_table() -> np.ndarray:
 
 def tallied(texts: DataFrame, code: Code, counts: np.ndarray) -> np.ndarray:
     """The cells of all windows of the column ``text``, summed by Spark; of fixed size, whatever the corpus."""
-    held = texts.sparkSession.sparkContext.broadcast((code, counts))
+    held = texts.sparkSession.sparkContext.broadcast((code, told_without(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, counts = held.value
-        cells = np.zeros(CELLS, dtype=np.int64)
+        code, told = held.value
+        tally = np.zeros(TOLD, dtype=np.int64)
         for batch in _slices(batches):
-            for lot in _lots(batch.column("text").cast(pa.binary()).to_pylist(), FEW):
-                cells += tally_odds([part for _, part in lot], code, counts)
+            for lot in _lots(batch.column("text").cast(pa.binary()).to_pylist(), 4 * FEW):
+                tally += tally_told(Bits([part for _, part in lot], code), told)
+        cells = cells_of(tally)
         met = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(cells[met], pa.int64())], names=["cell", "n"])
 
@@ -428,10 +470,7 @@ def fit_code(counts: DataFrame) -> Code:
 
 def add_counts(counts: np.ndarray, bits: Bits) -> None:
     for c, own in enumerate(counts):
-        slots = bits.slots(c)
-        slots <<= 1
-        slots |= bits.bit
-        np.add.at(own, slots, np.uint32(1))
+        np.add.at(own, bits.counters(c), np.uint32(1))
 
 
 SENT = "context int, chunk int, salt int, counters binary"

@@ -66,6 +66,24 @@ def test_lanes_equal_one_window_at_a_time(model):
     assert mix.mixed_bits(parts[::-1], code, tables, weights)[::-1] == pytest.approx(together, rel=1e-5)
 
 
+def test_tables_tell_of_a_bit_what_the_others_counted(model):
+    code, counts, _, _ = model
+    few = np.minimum(counts[:, : 1 << 12], 300)
+    told = mix.told_without(few)
+    for c in range(len(few)):
+        for i in range(0, few.shape[1], 2):
+            for bit in range(2):
+                zeros, ones = (min(255, max(0, int(few[c, i + b]) - (b == bit))) for b in range(2))
+                odds = int(mix.log_odds(np.array([[zeros, ones]]))[0])
+                expected = round(odds / mix.LEVEL) + mix.LEVELS if odds else mix.KINDS - 1
+                assert told[c, i + bit] == expected
+    parts = list(mix.windows(b"ka mi ka Lo st"))
+    bits = mix.Bits(parts, code)
+    tally = mix.tally_told(bits, mix.told_without(counts))
+    assert len(tally) == mix.TOLD and tally.sum() == len(bits.bit)
+    assert (mix.cells_of(tally) == mix.tally_odds(parts, code, counts)).all()
+
+
 def test_codes_are_complete_prefix_codes():
     rng = random.Random(4)
     pairs = {p: {rng.randint(0, 256): rng.randint(1, 50) for _ in range(rng.randint(1, 9))} for p in range(20)}
