@@ -296,3 +296,14 @@ def test_short_ids_of_the_wide_view_lead_back(read):
     assert back.columns == wide.columns
     place = "Plyn_Vyusteni0_OtackyVolnobezne_CO_Hodnota"
     assert back.select(place).first()[0] == short.select(format(columns.index(place), "03x")).first()[0] == "1"
+
+
+def test_a_plain_record_is_found_without_replacing_text(spark, tmp_path):
+    between = ["<R>a</R>", " \n<R>b</R>", "<R>c:R</R>", "<R>d<Rx/></R>", "<p:R>e</p:R>", "<R h='1'>f</R>", "<R/><R>g</R>"]
+    (tmp_path / "Feed 01-01-2020.xml").write_text(f"<L><DatovyObsah>{''.join(between)}</DatovyObsah></L>")
+    rows = documents.record_texts(spark, "R", str(tmp_path))
+    assert sorted(r._text for r in rows.where("_text is not null").collect()) == sorted(
+        ["<R>a</R>", "<R>b</R>", "<R>c:R</R>", "<R>d<Rx/></R>", "<p:R>e</p:R>", "<R h='1'>f</R>", "<R/>", "<R>g</R>"]
+    )
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(value" not in plan and plan.count("locate(") == 1
