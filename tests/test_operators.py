@@ -255,3 +255,11 @@ def test_model_prefers_the_shape_it_can_fit(spark, frame):
     assert outcome.aucs["boostovane_stromy"] > 0.9 > outcome.aucs["logisticka_regrese"]
     assert {r.priznak for r in outcome.importances(spark).collect()} == {"x", "y"}
     assert outcome.scores(spark).where("vybran").count() == 1
+
+
+def test_examples_lie_in_parts_by_their_number(spark, frame, monkeypatch):
+    monkeypatch.setattr(model, "ROWS_TOGETHER", 50)
+    rows = frame([(None if i % 2 else 1, float(i)) for i in range(1000)], "k int, v double").coalesce(1)
+    sizes = model.in_parts(rows, 1000).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) < 150
+    assert model.in_parts(rows, 50) is rows
