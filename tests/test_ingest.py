@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tests import xml as X
 
@@ -8,6 +9,7 @@ from inspectlake.plans.inspections import INSPECTIONS, PARENT_SCHEMA, SUMS_SCHEM
 from inspectlake.plans.measurements import MEASUREMENTS
 from inspectlake.sources import tables
 from inspectlake.streaming import ingest
+from inspectlake.workload import queries
 
 
 def one(number, codes=""):
@@ -237,3 +239,22 @@ def test_sums_take_back_what_a_correction_drops(spark, feed, tmp_path):
     X.put(feed, "P 02-01-2020.xml.gz", X.inspections(one("3") + one("4"))[:-3])
     ingest.ingest_pending(spark, INSPECTIONS, str(feed), target)
     assert sums() == {("2020-01-01", 1), ("2020-01-02", 1)}
+
+
+def test_incremental_ingest_has_a_document_for_every_day(spark, tmp_path):
+    columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string"
+    days = ["1998-06-29", "1998-06-30", "1998-07-01", "1998-07-02", "1998-07-02"]
+    rows = spark.createDataFrame([(k, 1, "F", None, "1-URGENT") for k in range(2, 7)], columns)
+    days = spark.createDataFrame(list(zip(range(2, 7), days, strict=True)), "o_orderkey long, d string")
+    rows.join(days, "o_orderkey").withColumn("o_orderdate", F.to_timestamp("d")).drop("d").write.parquet(str(tmp_path / "orders.parquet"))
+    found = queries.incremental_ingest(spark, str(tmp_path)).where("tabulka = 'prohlidky'").collect()
+    assert sorted((str(r["den"]), r["radku"]) for r in found) == [
+        ("1998-06-29", 1), ("1998-06-30", 1), ("1998-07-01", 1), ("1998-07-02", 2),
+    ]
+
+
+def test_small_files_have_small_bloom_filters(spark, tmp_path):
+    rows = spark.sql("SELECT concat('VIN', id) AS v, DATE '2020-01-01' AS den FROM range(50)").coalesce(1)
+    tables.write_days(rows, str(tmp_path / "t"), ["v"])
+    (written,) = (tmp_path / "t").rglob("*.parquet")
+    assert written.stat().st_size < 200_000
