@@ -233,6 +233,21 @@ def test_permuted_columns_keep_their_values(frame):
     assert sum(r.v == r.k for r in out) < 20
 
 
+def test_permutations_in_turn_are_those_of_each_column(frame, monkeypatch):
+    rows = [(i if i % 7 else None, i // 3, float(i), None if i % 5 == 0 else i * 2) for i in range(500)]
+    df = frame(rows, "k int, l int, v double, w int")
+    each = lambda: sorted(map(str, model.permuted_in_turn(df, ["v", "w"], ["k", "l"], 3, "co").collect()))
+    at_once = each()
+    monkeypatch.setattr(model, "MOST_IN_PYTHON", 1)
+    assert at_once == each() and len(at_once) == 1000
+
+
+def test_permutations_take_one_shuffle(frame):
+    df = frame([(i, float(i), float(i)) for i in range(50)], "k int, v double, w double")
+    plan = model.permuted_in_turn(df, ["v", "w"], ["k"], 3, "co")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 0 and plan.count("FlatMapGroupsInArrow") == 1
+
+
 def test_importance_goes_to_the_feature_that_decides(spark, frame):
     rng = random.Random(9)
     rows = [(i, rng.random(), rng.random()) for i in range(600)]
